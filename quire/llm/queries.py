@@ -64,5 +64,39 @@ QUERIES = {f.__name__: f for f in (
     op6_simhash, op7_pii, op8_mixing, op9_html_extraction, op10_quality_rules,
 )}
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_ESCAPED = r"replace(replace(replace({}, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')"
+
 #: Where SQL can say what an operator computes over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_chat_formatting": rf"""
+with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+ union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+ coalesce(sum(case when role = 'assistant' then length(text) end), 0)::bigint as loss_chars,
+ sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn), '')) as loss_sha256,
+ sum(length('### ') + length({_ESCAPED.format('role')}) + 1 + length({_ESCAPED.format('text')}) + length('</turn>') + 1)::bigint as formatted_chars
+from t group by conv_id""",
+    "op4_decontamination": rf"""
+with d as (select doc_id, {_WORDS} as w from documents), i as (select item_id::varchar as item_id, {_WORDS} as w from benchmark),
+iw as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[p + 1 : p + least(10, len(w))], ' ') as g from (select item_id, w, unnest(range(0, greatest(1, len(w) - 9))) as p from i where len(w) > 0)),
+ns as (select distinct n from iw),
+dw as (select doc_id, n, p, array_to_string(w[p + 1 : p + n], ' ') as g from (select doc_id, w, n, unnest(range(0, len(w) - n + 1)) as p from d, ns where len(w) >= n)),
+m as (select doc_id, item_id, iw.n as n, p from dw join iw on dw.n = iw.n and dw.g = iw.g),
+h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from m) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from m) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join t using (doc_id)""",
+    "op10_quality_rules": rf"""
+with d as (select doc_id, coalesce(text, '') as text, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') as w from documents),
+l as (select *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) as ls from d),
+g as (select doc_id, p, array_to_string(w[p + 1 : p + 5], ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 4)) as p from d where len(w) >= 5)),
+r as (select doc_id, p, count(*) over (partition by doc_id, g) as n from g),
+c as (select doc_id, count(distinct q) as n_repeat_words from (select doc_id, unnest(range(p, p + 5)) as q from r where n > 1) group by doc_id),
+s as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(text) - length(regexp_replace(text, '[{quality.SYMBOLS}]', '', 'g')))::bigint as n_symbols,
+ len(ls) as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+ length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) as n_upper, length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) as n_letters from l left join c using (doc_id)),
+b as (select *, ({' or '.join(f'({x.rejects})' for x in quality.RULES if x.base)}) as base_failed, ({' or '.join(f'({x.rejects})' for x in quality.RULES)}) as rejected from s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not rejected as kept from b""",
+}
