@@ -21,6 +21,7 @@ least ``MIN_PAGES`` different pages of the host agree on it.
 from __future__ import annotations
 
 import re
+import sys
 from html import unescape
 
 import pyarrow as pa
@@ -33,6 +34,8 @@ from .common import cut
 MIN_PAGES = 3
 #: Partial wrappers merged per host.
 SALTS = 8
+#: Elements open at once, as browsers bound them too.
+MAX_DEPTH = 400
 #: Wrappers are sent to every executor up to this size, and joined beyond it.
 BROADCAST_BYTES = 8 << 20
 
@@ -127,7 +130,8 @@ def parse(html: str | None) -> Node:
             close_at = text.find(">", stop)
             at = len(text) if end is None or close_at < 0 else close_at + 1
             continue
-        stack.append(node)
+        if len(stack) < MAX_DEPTH:  # what is nested deeper stays, as parts of the innermost element
+            stack.append(node)
 
 
 def _open_inline(stack) -> bool:
@@ -367,6 +371,7 @@ def _fold(pages_or_shapes: DataFrame) -> DataFrame:
     rows = pages_or_shapes.sortWithinPartitions("host", "wrapper")
 
     def run(batches):
+        sys.setrecursionlimit(20 * MAX_DEPTH)
         host, tree, out = None, None, []
         for batch in batches:
             for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -396,6 +401,7 @@ def _by_page(pages: DataFrame, work, schema: str, wrappers=None) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
+        sys.setrecursionlimit(20 * MAX_DEPTH)
         trees: dict = {}
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS):
