@@ -24,6 +24,8 @@ VOIDS = frozenset("br img hr wbr area col input source".split())
 _ALSO_VOID = frozenset("meta link embed base param track".split())
 _TOKEN = re.compile(r"\[\[(/?)(\d+)(/?)\]\]")
 _LABELS = frozenset(["text", "a"])
+#: Elements open at once; what is nested deeper stays, as parts of the innermost one.
+MAX_DEPTH = 200
 
 
 class El:
@@ -47,7 +49,7 @@ class _Tree(HTMLParser):
             self._end({"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}.get(tag, ("dt", "dd")), frozenset(["ul", "ol", "table", "dl"] + (["tr"] if tag in ("td", "th") else [])))
         el = El(tag, {k: v or "" for k, v in attrs})
         self.stack[-1].kids.append(el)
-        if tag not in VOIDS and tag not in _ALSO_VOID:
+        if tag not in VOIDS and tag not in _ALSO_VOID and len(self.stack) < MAX_DEPTH:
             self.stack.append(el)
 
     def handle_startendtag(self, tag, attrs):

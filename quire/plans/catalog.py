@@ -132,10 +132,16 @@ def first_chunks(spark, d):
 
 
 # ---- text functions ----
-@query(f"select doc_id, {_dw('text')}::int as n_words, len(string_split(text, {NL}))::int as n_lines from documents where source = 'src3'")
+@query(f"select doc_id, {_dw('text')}::int as n_words, len(string_split(text, {NL}))::int as n_lines from documents")
 def word_counts(spark, d):
-    docs = _t(spark, d, "documents").where("source = 'src3'")
-    return docs.select("doc_id", F.expr(T.word_count("text")).alias("n_words"), F.size(F.expr(T.lines("text"))).alias("n_lines"))
+    return _t(spark, d, "documents").select("doc_id", F.expr(T.word_count("text")).alias("n_words"), F.size(F.expr(T.lines("text"))).alias("n_lines"))
+
+
+@query(f"select source, count(*)::bigint as docs, sum({_dw('text')})::bigint as n_words from documents where contains(source, 'c1') group by source")
+def document_filter(spark, d):
+    """The filter on names reaches the scan; texts are read for what passes only."""
+    docs = _t(spark, d, "documents").where(F.col("source").contains("c1"))
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.expr(T.word_count("text"))).alias("n_words"))
 
 
 @query(r"""select p_partkey, case when s = '' then 'book' else s end as slug from (select p_partkey,
@@ -485,8 +491,8 @@ def raster_filter(spark, d):
 
 @query()
 def figure_plan(spark, d):
-    ops = _t(spark, d, "events").selectExpr("cast(user_id % 20 as string) as book_id", "cast(event_id % 3 as int) as page", "cast(event_id % 300 as double) as x0", "cast((event_id * 7) % 500 as double) as y0")
-    ops = ops.selectExpr("*", "x0 + 60 as x1", "y0 + 8 as y1").select("book_id", "page", "x0", "y0", "x1", "y1")
+    ops = _t(spark, d, "events").selectExpr("cast(user_id % 2 as string) as book_id", "cast(event_id % 3 as int) as page", "cast(event_id % 300 as double) as x0", "cast((event_id * 7) % 500 as double) as y0")
+    ops = ops.selectExpr("*", "x0 + 60 as x1", "y0 + 30 as y1").select("book_id", "page", "x0", "y0", "x1", "y1")
     pages = ops.select("book_id", "page").distinct().withColumn("width", F.lit(400.0)).withColumn("height", F.lit(600.0))
     texts = ops.where("x0 % 37 = 0").withColumn("text", F.lit("a label"))
     none = texts.where("false").withColumn("w_px", F.lit(0)).withColumn("h_px", F.lit(0))
