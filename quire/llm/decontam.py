@@ -200,21 +200,21 @@ class Index:
 
     def long_text(self, data: bytes):
         """The same in pieces that share ``window`` words, so that no window is cut."""
-        lo, hits, items, shared = 0, [], set(), 0
+        lo, base, size, items = 0, 0, self.chunk, set()
+        marks = np.zeros(len(data) // 2 + 2, bool)  # by word
         while True:
-            hi = min(len(data), lo + self.chunk)
+            hi = min(len(data), lo + size)
             while hi < len(data) and self.hasher.is_word[data[hi - 1]] and self.hasher.is_word[data[hi]]:
                 hi += 1  # to the end of the word
             starts, _, hit, more = self.scan(data[lo:hi], np.zeros(1, int))
+            if len(hit) <= self.window and hi < len(data):
+                size *= 2  # few and very long words
+                continue
             items |= more.get(0, set())
-            if shared:
-                hits[-1][len(hits[-1]) - shared :] |= hit[:shared]
-                hit = hit[shared:]
-            hits.append(hit.copy())
+            marks[base : base + len(hit)] |= hit
             if hi == len(data):
-                return sum(map(len, hits)), np.concatenate(hits), items
-            shared = min(self.window, len(hit))
-            lo = lo + int(starts[len(starts) - shared]) if shared else hi
+                return base + len(hit), marks[: base + len(hit)], items
+            base, lo, size = base + len(hit) - self.window, lo + int(starts[-self.window]), self.chunk
 
 
 def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
