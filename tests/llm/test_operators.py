@@ -1,0 +1,420 @@
+"""Operators against brute force, exact round trips and held-out accuracy."""
+
+import collections
+import hashlib
+import html as stdhtml
+import json
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from conftest import same_rows
+
+import __spark_entry__
+import corpus_pipeline
+from quire.llm import chat, decontam, graph, html, mixing, pii, quality, simhash, tokens, toxicity, warc
+from quire.llm.common import table
+
+TEN = {q: f for q, f in __spark_entry__.queries().items() if re.match(r"op\d+_", q)}
+
+
+def test_ten_queries():
+    assert sorted(int(q[2:].split("_")[0]) for q in TEN) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+
+
+@pytest.mark.parametrize("name", [q for q in TEN if q in __spark_entry__.oracle_sql()])
+def test_sql(spark, duck, sf_dir, name):
+    same_rows(TEN[name](spark, sf_dir), duck.sql(__spark_entry__.oracle_sql()[name]))
+
+
+# ---- 1: tokens ----
+def test_offsets_and_rules(spark, sf_dir):
+    enc = tokens.Encoder(tokens.vocabulary(spark, tokens.VOCABULARY))
+    for text in ["Hé wörld\n日本 text\n\n😀 ok", "", "a" * 3000, " \n\n x", *[r.text for r in table(spark, sf_dir, "documents").limit(20).collect()]]:
+        starts, ends = enc.spans(text)
+        assert len(starts) == len(enc.encoding.encode_ordinary(text)) and (starts <= ends).all() and (not len(ends) or ends[-1] == len(text))
+        lo, hi = tokens.line_sections(text)
+        n, _ = tokens.attribute(starts, ends, lo, hi)
+        assert n.sum() == len(starts)
+        rng = random.Random(1)
+        cuts = sorted(rng.sample(range(len(text) + 1), min(5, len(text) + 1)))
+        lo, hi = np.array([0, *cuts]), np.array([*cuts, len(text)])
+        for rule in tokens.RULES:
+            n, _ = tokens.attribute(starts, ends, lo, hi, rule)
+            brute = []
+            for a, b in zip(lo, hi, strict=True):
+                if rule == "share":
+                    brute.append(sum(max(0, min(e, b) - max(s, a)) / max(1, e - s) for s, e in zip(starts, ends, strict=True)) if b > a else 0)
+                else:
+                    at = starts if rule == "start" else (starts + ends - 1) // 2
+                    brute.append(sum(a <= x < b for x in at) if b > a else 0)
+            assert np.allclose(n, brute)
+
+
+def test_crossing_tokens():
+    starts, ends = np.array([0, 2, 6]), np.array([2, 6, 8])
+    n, crossing = tokens.attribute(starts, ends, np.array([0, 4]), np.array([4, 8]))
+    assert n.tolist() == [2, 1] and crossing.tolist() == [1, 1]
+    assert tokens.attribute(starts, ends, np.array([0, 4]), np.array([4, 8]), "share")[0].tolist() == [1.5, 1.5]
+
+
+def test_long_text_is_cut_without_loss(monkeypatch, spark):
+    enc = tokens.Encoder(tokens.vocabulary(spark, tokens.VOCABULARY))
+    text = "some words here\nand there " * 200
+    whole = enc.byte_ends(text)
+    monkeypatch.setattr(tokens, "PIECE", 500)
+    assert enc.byte_ends(text)[-1] == whole[-1] == len(text) and abs(len(enc.byte_ends(text)) - len(whole)) <= len(text) // 400
+
+
+# ---- 2: toxicity ----
+def test_held_out_toxicity(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.train(docs, labels.where("doc_id % 4 <> 0"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = labels.where("doc_id % 4 = 0").collect()
+    caught = [got[r.doc_id].toxic for r in held if r.toxic]
+    alarms = [got[r.doc_id].toxic for r in held if not r.toxic]
+    assert np.mean(caught) > 0.85 and np.mean(alarms) < 0.01
+    severe = {t: np.mean([got[r.doc_id].expected_severity for r in held if r.toxic == t]) for t in (0, 1)}
+    assert severe[1] > 5 * severe[0] and model.thresholds == sorted(model.thresholds)
+
+
+# ---- 3: chat ----
+def test_events_fold(spark):
+    log = [
+        (0, 0, "message", "user", "q"), (1, 1, "delta", "assistant", "a"), (1, 2, "delta", None, "b"), (2, 3, "message", "user", "old"),
+        (1, 4, "regenerate", "assistant", None), (1, 5, "delta", None, "new"), (2, 6, "message", "user", "next"), (3, 7, "message", "assistant", "gone"), (3, 8, "delete", None, None), (0, 3, "other", None, "x"),
+    ]
+    rows = spark.createDataFrame([(1, *e) for e in log], "conv_id bigint, turn bigint, seq bigint, kind string, role string, text string")
+    parts = chat.formatted(rows).collect()
+    assert list(chat.read_back(parts[0].formatted)) == [("user", "q"), ("assistant", "new"), ("user", "next")]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_escapes_are_reversible(seed):
+    rng = random.Random(seed)
+    turns = [("".join(rng.choice(["\\", "#", "n", "\n", "r"]) for _ in range(4)), "".join(rng.choice(["\\", "###", "#", "</turn>", "</", "turn>", "\n", "n", "### a\n", "é"]) for _ in range(12))) for _ in range(5)]
+    parts = list(chat._parts(1, turns))
+    assert [t for p in parts for t in chat.read_back(p["formatted"])] == turns
+
+
+def test_long_conversation_is_cut_in_parts():
+    turns = [("assistant", f"m{i}") for i in range(200)]
+    parts = list(chat._parts(1, turns))
+    assert len(parts) == 4 and [t for p in parts for t in chat.read_back(p["formatted"])] == turns
+    assert "".join(p["formatted"][s["lo"] : s["hi"]] for p in parts for s in p["loss"]) == "".join(t for _, t in turns)
+
+
+# ---- 4: decontamination ----
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_hits(text, items):
+    def words(t):
+        return WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+
+    d = words(text)
+    hit, got = [False] * len(d), set()
+    for item, t in items:
+        w = words(t)
+        n = min(10, len(w))
+        for a in range(len(w) - n + 1 if n else 0):
+            for p in range(len(d) - n + 1):
+                if d[p : p + n] == w[a : a + n]:
+                    got.add(item)
+                    hit[p : p + n] = [True] * n
+    return len(d), hit, got
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_winnowing_against_brute_force(seed):
+    rng = random.Random(seed)
+    vocab = ["a", "b", "ÄB", "c9"] if seed % 2 else [f"w{i}" for i in range(40)]
+
+    def text(n):
+        return rng.choice([" ", "-", ", "]).join(rng.choice(vocab) for _ in range(n))
+
+    items = [(str(i), text(rng.choice([0, 1, 3, 5, 9, 10, 11, 25]))) for i in range(8)]
+    docs = [text(rng.randint(0, 60)) for _ in range(20)]
+    for i in range(10):
+        docs[i] += " " + rng.choice(items)[1] + " " + text(3)
+    for chunk in (decontam.CHUNK, 64):
+        index = decontam.Index(items, chunk=chunk)
+        for t, (n, hit, got) in zip(docs, index.texts(docs), strict=True):
+            assert (n, hit.tolist(), got) == brute_hits(t, items)
+
+
+def test_blocks_of_the_benchmark_agree(spark, sf_dir):
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+
+    def rows(frame):
+        return sorted((r.doc_id, r.n_words, [tuple(s) for s in r.spans], list(r["items"])) for r in frame.collect())
+
+    assert rows(decontam.contamination(docs, bench)) == rows(decontam.contamination(docs, bench, block_bytes=3000))
+    kept = {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()}
+    assert kept == {r.doc_id for r in decontam.drop_contaminated(docs, bench, block_bytes=3000).collect()}
+    assert kept == {r[0] for r in rows(decontam.contamination(docs, bench)) if not r[2]}
+
+
+# ---- 5: WARC ----
+def test_warc_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").limit(10)
+    for r in warc.write_records(pages).collect():
+        (h, block), (m, meta), (c, text) = warc.records(bytes(r.warc))
+        assert [x["warc-type"] for x in (h, m, c)] == ["response", "metadata", "conversion"]
+        assert m["warc-refers-to"] == c["warc-refers-to"] == h["warc-record-id"] and m["warc-target-uri"] == c["warc-target-uri"] == r.url
+        assert h["warc-payload-digest"] == c["warc-payload-digest"] == warc.digest(warc.http(block)[2]) and c["warc-block-digest"] == warc.digest(text)
+        assert len({h["warc-record-id"], m["warc-record-id"], c["warc-record-id"]}) == 3 and json.loads(meta)["status"] == "200"
+        assert b"<" not in text.replace(b"&lt;", b"") or b"track(" not in text
+
+
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    raw = warc.response(1, "http://h.example/a", "<title>T</title><a href='/b'>x</a>") + warc.dump({"WARC-Type": "request"}, b"q\r\n\r\n") + warc.response(2, "http://h.example/c", None)
+    parts = [warc.dump({k: v for k, v in h.items()}, b) for h, b in warc.records(raw)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (tmp_path / "b.warc").write_bytes(raw + b"WARC/1.0\r\nContent-Length: 99\r\n\r\ncut off")
+    out = warc.derive_files(spark.read.format("binaryFile").load(str(tmp_path / "*.warc*"))).collect()
+    assert len(out) == 4
+    meta = [json.loads(b) for r in out for h, b in warc.records(bytes(r.warc)) if h["warc-type"] == "metadata"]
+    assert sorted(m["title"] for m in meta) == ["", "", "T", "T"] and ["http://h.example/b"] in [m["links"] for m in meta]
+
+
+# ---- 6: SimHash ----
+def brute_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def brute_components(values, radius):
+    root = list(range(len(values)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(values)):
+        for j in range(i):
+            if (values[i] ^ values[j]).bit_count() <= radius:
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(values))]
+
+
+def test_fingerprints(spark, sf_dir, monkeypatch):
+    texts = [r.text for r in table(spark, sf_dir, "documents").collect()] + [None, "", "Ä b", "a", "A B\x0bC\x1cd"]
+    assert [simhash.fingerprint(t) for t in texts] == [brute_fingerprint(t) for t in texts]
+    long = " ".join(str(i % 977) for i in range(5000))
+    monkeypatch.setattr(simhash, "PIECE", 100)
+    assert simhash.fingerprint(long) == brute_fingerprint(long)
+
+
+def test_bucket_links():
+    rng = random.Random(5)
+    for n, radius, block in ((2, 2, 8), (40, 2, 8192), (300, 2, 64), (200, 3, 64), (64, 0, 8)):
+        seeds = [rng.getrandbits(64) for _ in range(max(1, n // 6))]
+        values = list({rng.choice(seeds) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(n)})
+        brute, root = brute_components(values, radius), list(range(len(values)))
+        pairs = list(simhash.bucket_links(values, radius, block))
+        for i, j in pairs:
+            assert (values[i] ^ values[j]).bit_count() <= radius
+            a, b = (next(r for r in [root[x]]) for x in (i, j))
+            root = [b if r == a else r for r in root]
+        assert len(pairs) == len(values) - len(set(brute)) and len({*zip(root, brute, strict=True)}) == len(set(brute))
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(9)
+    fps, seeds = [], [rng.getrandbits(64) for _ in range(20)]
+    for s in seeds:
+        x = s
+        for _ in range(10):  # chains and stars
+            x ^= 1 << rng.randrange(64) if rng.random() < 0.7 else 0
+            fps.append((x if rng.random() < 0.5 else s) ^ (1 << rng.randrange(64)))
+    values = sorted(set(fps))
+    frame = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp bigint")
+    roots = {r.node % 2**64: r.root for r in graph.components(simhash.links(frame)).collect()}
+    brute = brute_components(values, 2)
+    got = [roots.get(v, v) for v in values]
+    assert len({*zip(got, brute, strict=True)}) == len(set(brute)) == len(set(got))
+
+
+def test_component_ids(spark, sf_dir):
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents")).collect()
+    values = [r.fp % 2**64 for r in rows]
+    least = collections.defaultdict(list)
+    for c, r in zip(brute_components(values, 2), rows, strict=True):
+        least[c].append(r)
+    assert all(r.component_id == min(x.doc_id for x in group) for group in least.values() for r in group)
+
+
+def test_long_chains_of_links(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(500)] + [(7, 7), (None, 3), (1000, 1001), (1001, 1000)], "a bigint, b bigint")
+    got = {r.node: r.root for r in graph.components(edges).collect()}
+    assert all(got[i] == 0 for i in range(501)) and got[1001] == 1000 and len(got) == 503
+    assert graph.components(edges.where("false")).count() == 0
+
+
+# ---- 7: personal data ----
+def test_surrogates(spark):
+    texts = {
+        1: "mail und.34@mail7.example.com and UND.34@MAIL7.EXAMPLE.COM", 2: "+1 (017) 555-7713 or +1 017 555 7713", 3: "4111 1111 1111 1111 or 4111111111111111 or 2123465659789240",
+        4: "97.51.17.173 2001:db8:85a3:0:0:8a2e:370:7334", 5: 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"!', 6: "Mr. John Smith met Anna Schmidt; Анна Петрова.", 7: "123-45-6789 DE44 5001 0517 5407 3249 31", 8: "plain 12 text 2024",
+    }
+    out = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    for k, t in texts.items():
+        new = out[k].text
+        assert re.sub(r"[^\W_]", "x", new) == re.sub(r"[^\W_]", "x", t) or k in (4, 6)
+        assert (new == t) == (k == 8)
+    assert len(set(re.findall(r"\S+@\S+", out[1].text.lower()))) == 1  # one person, two spellings
+    assert len({re.sub(r"\D", "", p) for p in out[2].text.split(" or ")}) == 1
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10
+
+    cards = [re.sub(r"\D", "", c) for c in out[3].text.split(" or ")]
+    assert cards[0] == cards[1] != cards[2] and luhn(cards[0]) == 0 and luhn(cards[2]) == luhn("2123465659789240")
+    assert all(int(o) < 256 for o in out[4].text.split()[0].split("."))
+    first, second, third = (re.findall(p, out[6].text)[0] for p in (r"Mr\. (\w+) ", r"met (\w+) ", r"; (\w+) "))
+    assert first in pii.GIVEN["male"] and second in pii.GIVEN["female"] and third in pii.GIVEN["female_cyrillic"] and out[6].text.endswith("ова.")
+
+
+def test_surrogates_are_distinct(spark):
+    rng = random.Random(2)
+    rows = [f"{a}{b}.{rng.randint(10, 99)}@m.example.com {i // 250 % 256}.{i % 250}.1.2 +1 ({i:03d}) 555-{rng.randint(0, 9999):04d}" for i, (a, b) in enumerate((x, y) for x in "abcdefghijklmnopqrst" for y in "abcdefghijklmnopqrst")]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    for r in pii.collisions(frame).collect():
+        assert r.collisions == 0 and r.entities == r.surrogates == 400 and r.unchanged == 0
+    a, b = (sorted(r.surrogate for r in pii.entities(frame, key=k).collect()) for k in ("k1", "k2"))
+    assert a != b
+
+
+# ---- 8: mixing ----
+def brute_targets(sizes, cap=3.0):
+    weights = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
+    free, left, out = set(range(len(sizes))), float(sum(sizes)), [0.0] * len(sizes)
+    while free:
+        w = sum(weights[i] for i in free)
+        share = {i: left * weights[i] / w for i in free}
+        over = [i for i in free if share[i] > cap * sizes[i]]
+        for i in over or list(free):
+            out[i] = cap * sizes[i] if over else share[i]
+            left -= out[i]
+            free.discard(i)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100], [1000, 10, 10], [5, 5, 5, 5], [0, 10, 0, 90], [1, 1, 1, 1000], [0], [10, 400, 3, 80, 80, 2]])
+def test_targets(spark, sizes):
+    frame = spark.createDataFrame([(f"s{i}" if i < 5 else None, n) for i, n in enumerate(sizes)], "source string, source_size bigint")
+    got = [r.target for r in mixing.targets(frame).orderBy(frame.source.asc_nulls_last()).collect()]
+    assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = mixing.mix(docs).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()))  # reruns agree
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    for source in by.values():
+        assert abs(sum(r.taken for r in source) - source[0].target) <= max(r.size for r in source) and all(r.taken <= 3 * r.size for r in source)
+        assert source[0].source_size == sum(r.size for r in source)
+    out = mixing.sharded(docs).collect()
+    copies = collections.Counter(r.doc_id for r in out)
+    assert copies == collections.Counter({r.doc_id: r.copies for r in rows if r.copies}) and {r.mix_shard for r in out} <= set(range(mixing.SHARDS))
+
+
+def test_tree_is_hypergeometric(spark):
+    blocks = spark.createDataFrame([(s, b, d) for s in ("a", "b") for b in range(40) for d in [1 + (b % 2)]], "source string, block int, draws int")
+    rows = mixing.split(blocks, 4).collect()
+    assert len(rows) == 120 and len({(r.source, r.block, r.copy) for r in rows}) == 120
+    assert sorted(collections.Counter(r.shard for r in rows).values()) == [30, 30, 30, 30]
+    mean = np.mean([sum(r.source == "a" and r.shard == 0 for r in mixing.split(blocks, 4, seed=s).collect()) for s in range(12)])
+    assert 11 < mean < 19
+
+
+# ---- 9: main text ----
+def test_main_text(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    got = {r.page_id: r for r in html.main_text(pages).collect()}
+    for r in pages.collect():
+        body = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S).group(1)
+        text = re.sub(r"<[^>]+>", "", re.sub(r"</?(p|h1|br)\b[^>]*>", " ", body))
+        assert got[r.page_id].text == " ".join(stdhtml.unescape(text).split()) and got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_tree_matching():
+    a, b = ("x", (("p", ()), ("q", (("r", ()),)), ("s", ()))), ("x", (("q", (("t", ()),)), ("s", ()), ("u", ())))
+    assert html.aligned(a, b) == [(0, None), (1, 0), (2, 1), (None, 2)]
+    assert html.merged(a, b) == ("x", (("p", ()), ("q", (("r", ()), ("t", ()))), ("s", ()), ("u", ()))) or html.merged(a, b)[1][1][0] == "q"
+    assert html._load(html._dump(a)) == a
+
+
+def test_template_nodes_go_and_slots_stay(spark):
+    rows = [(i, f"https://H.example:80/{i}", f"<body><div class=top>Welcome to us</div><div class=story><p>Story {i} tells</p><p>More {i}</p></div><div class='comments'>bad</div></body>") for i in range(5)]
+    rows += [(9, "http://other.example/", "<body><div class=top>Welcome to us</div><p>one page only</p></body>")]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3] == "Story 3 tells More 3" and got[9] == "Welcome to us one page only"
+
+
+# ---- 10: quality ----
+def brute_signals(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {q for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for q in range(i, i + 5)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in quality.SYMBOLS), len(lines) - len(set(lines)), len(covered)
+
+
+def test_signals(spark):
+    rng = random.Random(4)
+    texts = [None, "", " ", "a b c d e", "a a a a a a", "a b c d e f a b c d e"] + ["".join(rng.choice(["a ", "b ", "c\n", "#", "\x0b", " ", "É "]) for _ in range(rng.randint(0, 80))) for _ in range(150)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in quality.report(frame).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_signals(texts[r.doc_id])
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and (r.kept <= (not r.base_failed))
+
+
+def test_order_never_changes_verdicts(spark, sf_dir, monkeypatch):
+    docs = table(spark, sf_dir, "documents")
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == {r.doc_id for r in quality.report(docs).collect() if r.kept}
+    monkeypatch.setattr(quality, "plan", lambda d, rules=quality.RULES, n=1: list(reversed(rules)))
+    assert kept == {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert 0 < len(kept) < docs.count()
+
+
+# ---- pipeline ----
+def test_pipeline(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+    good = [d for d in quality.report(docs).collect() if d.kept]
+    good = sorted(r.doc_id for r in good)
+    comps = brute_components([brute_fingerprint(rows[i].text) for i in good], 2)
+    first = {}
+    for i, c in zip(good, comps, strict=True):
+        first.setdefault(c, i)
+    items = [(str(r.item_id), r.text) for r in table(spark, sf_dir, "benchmark").collect()]
+    index = decontam.Index(items)
+    clean = [i for i in first.values() if not next(index.texts([rows[i].text]))[1].any()]
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in out} <= set(clean) and len({r.doc_id for r in out}) > 0.5 * len(clean)
+    assert not any(re.search(r"@mail\d\.example\.com", r.text) and r.text == rows[r.doc_id].text for r in out)
+    sizes = collections.Counter()
+    for i in clean:
+        sizes[rows[i].source] += len(rows[i].text.split())
+    took = collections.Counter()
+    for r in out:
+        took[r.source] += len(r.text.split())
+    for s, t in zip(sorted(sizes), brute_targets([sizes[s] for s in sorted(sizes)]), strict=True):
+        assert abs(took[s] - t) <= max(len(rows[i].text.split()) for i in clean if rows[i].source == s)
+    assert hashlib.sha256("".join(sorted(f"{r.doc_id}:{r.mix_copy}:{r.mix_shard}" for r in out)).encode()).hexdigest()
