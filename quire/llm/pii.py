@@ -99,19 +99,19 @@ def _turned(char: str, by: str, alphabets) -> str:
     return f"case {cases} else {char} end"
 
 
-def _shifted(half: str, other: str, salt: str, alphabets) -> str:
-    """SQL for a string shifted character by character under a stream drawn from the other half."""
+def _shifted(half: str, other: str, salt: str, turned) -> str:
+    """SQL for a string shifted character by character under a stream drawn from the other half; salt: SQL."""
     byte = "cast(conv(substr(ks, cast(pmod(ci, 64) as int) * 2 + 1, 2), 16, 10) as int)"
-    chars = f"transform(sequence(1, length(hh)), ci -> {_turned('substr(hh, ci, 1)', byte, alphabets)})"
-    return _let("hh", half, f"case when hh = '' then '' else {_let('ks', f'sha2(concat({_q(salt)}, lower({other})), 512)', f'array_join({chars}, {_q("")})')} end")
+    chars = f"transform(sequence(1, length(hh)), ci -> {turned('substr(hh, ci, 1)', byte)})"
+    return _let("hh", half, f"case when hh = '' then '' else {_let('ks', f'sha2(concat({salt}, lower({other})), 512)', f'array_join({chars}, {_q("")})')} end")
 
 
-def permuted(value: str, kind: str, key: str, alphabets=ALPHABETS) -> str:
-    """SQL for the keyed permutation of a string of letters and digits."""
-    s = [f"{key}:{kind}:{i}:" for i in range(3)]
+def permuted(value: str, salt: str, turned) -> str:
+    """SQL for the keyed permutation of a string of letters and digits; ``turned(char, by)`` shifts a character."""
+    s = [f"concat({salt}, '{i}:')" for i in range(3)]
     return _let("pv", value, _let("pl", "substr(pv, 1, length(pv) div 2)", _let("pr", "substr(pv, length(pv) div 2 + 1)",
-        _let("p1", _shifted("pl", "pr", s[0], alphabets), _let("p2", _shifted("pr", "p1", s[1], alphabets),
-        f"concat({_shifted('p1', 'p2', s[2], alphabets)}, p2)")))))
+        _let("p1", _shifted("pl", "pr", s[0], turned), _let("p2", _shifted("pr", "p1", s[1], turned),
+        f"concat({_shifted('p1', 'p2', s[2], turned)}, p2)")))))
 
 
 def _filled(form: str, letters: str, chars: str = r"[\\p{L}\\p{N}]") -> str:
@@ -124,8 +124,18 @@ def _plain(value: str) -> str:
     return rf"regexp_replace({value}, '[^\\p{{L}}\\p{{N}}]', '')"
 
 
-def _by_shape(value: str, kind: str, key: str, alphabets=ALPHABETS) -> str:
-    return _filled(value, permuted(_plain(value), kind, key, alphabets))
+def _by_shape(value: str, salt: str, turned) -> str:
+    return _filled(value, permuted(_plain(value), salt, turned))
+
+
+def _any_char(char: str, by: str) -> str:
+    """A character shifted in its alphabet, or as a hexadecimal digit where the mode ``hm`` is ``h`` (lower case) or ``H``."""
+    hexed = [f"when hm = '{m}' then {_turned(char, by, (a,))}" for m, a in zip("hH", HEX, strict=True)]
+    return f"case {' '.join(hexed)} else {_turned(char, by, ALPHABETS)} end"
+
+
+def _name_char(char: str, by: str) -> str:
+    return _turned(char, by, NAME_ALPHABETS)
 
 
 def _check_digit(digits: str) -> str:
@@ -135,13 +145,6 @@ def _check_digit(digits: str) -> str:
     return _let("rv", f"reverse({digits})", f"pmod(10 - pmod({total}, 10), 10)")
 
 
-def _card(value: str, key: str) -> str:
-    head = permuted("hd", "card", key)
-    last = f"pmod({_check_digit('nh')} + cast(substr(cd, -1) as int) - {_check_digit('hd')} + 10, 10)"
-    new = _let("cd", _plain(value), _let("hd", "substr(cd, 1, length(cd) - 1)", _let("nh", head, f"concat(nh, cast({last} as string))")))
-    return _filled(value, new)
-
-
 def _ipv4(value: str, key: str) -> str:
     def mixed(x: str, y: str, i: int) -> str:
         return f"({x} ^ cast(conv(substr(sha2(concat({_q(f'{key}:ipv4:{i}:')}, cast({y} as string)), 256), 1, 4), 16, 10) as int))"
@@ -160,7 +163,7 @@ def _name(value: str, key: str) -> str:
         after = order[1:] + order[:1]  # one cycle: no name stays itself
         cases.append(f"when array_contains({_list(order)}, nw) then element_at({_list(after)}, cast(array_position({_list(order)}, nw) as int))")
     ends = "|".join(ENDINGS)
-    family = _let("en", rf"regexp_extract(nw, '^.{{2,}}?({ends})$', 1)", f"concat({_by_shape('substr(nw, 1, length(nw) - length(en))', 'name', key, NAME_ALPHABETS)}, en)")
+    family = _let("en", rf"regexp_extract(nw, '^.{{2,}}?({ends})$', 1)", f"concat({_by_shape('substr(nw, 1, length(nw) - length(en))', _q(f'{key}:name:'), _name_char)}, en)")
     return f"array_join(transform(split({value}, ' '), nw -> case {' '.join(cases)} else {family} end), ' ')"
 
 
@@ -173,25 +176,21 @@ def kind_of(value: str) -> str:
 
 
 def surrogate(value: str, key: str = KEY) -> str:
-    """SQL for the surrogate of one entity (a SQL expression of its text)."""
-    country = _let("cc", rf"regexp_extract({value}, '^(\\+\\d{{1,3}}(?=[ .(-]))?', 0)", f"concat(cc, {_by_shape(f'substr({value}, length(cc) + 1)', 'phone', key)})")
-    hexed = f"case when {value} rlike '[a-f]' then {permuted(value, 'hex', key, HEX[:1])} else {permuted(value, 'hex', key, HEX[1:])} end"
-    assigned = _let("ap", f"regexp_extract({value}, {_q('^' + _ASSIGNED)}, 0)", _let("av", f"substr({value}, length(ap) + 1)",
-        f"concat(ap, case when av rlike '^[0-9a-f]+$' then {permuted('av', 'hex', key, HEX[:1])} when av rlike '^[0-9A-F]+$' then {permuted('av', 'hex', key, HEX[1:])} else {_by_shape('av', 'assigned', key)} end)"))
-    by_kind = {
-        "email": _by_shape(value, "email", key),
-        "assigned": assigned,
-        "hex": hexed,
-        "key": f"concat(substr({value}, 1, 4), {_by_shape(f'substr({value}, 5)', 'key', key)})",
-        "iban": f"concat(substr({value}, 1, 2), {_by_shape(f'substr({value}, 3)', 'iban', key)})",
-        "phone": country,
-        "ssn": _by_shape(value, "ssn", key),
-        "card": _card(value, key),
-        "ipv4": _ipv4(value, key),
-        "ipv6": _by_shape(f"lower({value})", "ipv6", key, HEX[:1]),
-        "name": _name(value, key),
-    }
-    return _let("kd", kind_of(value), "case kd " + " ".join(f"when '{k}' then {sql}" for k, sql in by_kind.items()) + " end")
+    """SQL for the surrogate of one entity (a SQL expression of its text).
+
+    Most kinds keep a head (a key word, a country), permute the rest by shape
+    and, for card numbers, set the last digit so that its check holds as before.
+    """
+    head = (
+        rf"case kd when 'assigned' then regexp_extract(ev, {_q('^' + _ASSIGNED)}, 0) when 'key' then substr(ev, 1, 4) when 'iban' then substr(ev, 1, 2)"
+        r" when 'phone' then regexp_extract(ev, '^(\\+\\d{1,3}(?=[ .(-]))?', 0) else '' end"
+    )
+    rest = "case kd when 'card' then substr(ev, 1, length(ev) - 1) when 'ipv6' then lower(ev) else substr(ev, length(hw) + 1) end"
+    mode = "case when kd = 'ipv6' or kd in ('hex', 'assigned') and rw rlike '^[0-9a-f]+$' then 'h' when kd in ('hex', 'assigned') and rw rlike '^[0-9A-F]+$' then 'H' else '' end"
+    new, old = "regexp_replace(nr, '[^0-9]', '')", "regexp_replace(rw, '[^0-9]', '')"
+    last = f"case when kd = 'card' then cast(pmod({_check_digit(new)} + cast(substr(ev, -1) as int) - {_check_digit(old)} + 10, 10) as string) else '' end"
+    shaped = _let("hw", head, _let("rw", rest, _let("hm", mode, _let("nr", _by_shape("rw", f"concat({_q(key + ':')}, kd, ':')", _any_char), f"concat(hw, nr, {last})"))))
+    return _let("ev", value, _let("kd", kind_of("ev"), f"case kd when 'ipv4' then {_ipv4('ev', key)} when 'name' then {_name('ev', key)} else {shaped} end"))
 
 
 def replaced(text: str, key: str = KEY) -> str:
