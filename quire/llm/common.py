@@ -1,39 +1,18 @@
-"""Helpers shared by the operators: tables, lineage cuts, measured broadcasts."""
+"""Helpers shared by the operators."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: ASCII white space, the separators of words in most operators.
-SPACE = r"[ \t-\r]"
+from ..functions.lineage import cut
+
+__all__ = ["cut", "table", "words_sql"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
-
-    The folder is ``spark.checkpoint.dir``; only a session without one (tests)
-    gets a folder of its own.  The copy is on storage that every executor sees,
-    so a lost executor costs nothing.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
-    return df.checkpoint(eager=True)
-
-
-def ascii_lower(text):
-    """Lower-case A-Z only, as a column."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def words_sql(text: str) -> str:
     """SQL for the array of words ``[^\\x20\\x09-\\x0D]+`` of a text column (null: empty)."""
     return rf"filter(split(coalesce({text}, ''), r'[ \t-\r]+'), w -> w != '')"

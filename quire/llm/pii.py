@@ -78,7 +78,19 @@ KINDS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES)})\.? (?:(?:{_ANY_GIVEN}) )?{_NAME}|(?:{_ANY_GIVEN}) {_NAME})(?![\p{{L}}\p{{N}}])",
 }
 KINDS["phone"] = KINDS["phone"].replace("([.-])", "[.-]")
-PATTERN = "|".join(KINDS.values())
+
+
+def _pattern() -> str:
+    """All kinds as one alternation that is tried at the starts of words only, and by first character."""
+    k = KINDS
+    by_first = [
+        k["email"], rf"(?=[tTsSpPaA]){k['assigned']}", rf"(?=[0-9a-fA-F])(?:{k['hex']}|{k['ipv6']})", rf"(?=[\d+(])(?:{k['phone']}|{k['ssn']}|{k['card']}|{k['ipv4']})",
+        rf"(?=[Agsh]){k['key']}", rf"(?=[A-Z][A-Z]\d\d){k['iban']}", rf"(?=\p{{Lu}}\p{{Ll}}){k['name']}",
+    ]
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(by_first)})"
+
+
+PATTERN = _pattern()
 
 
 def _q(text: str) -> str:
@@ -178,17 +190,18 @@ def kind_of(value: str) -> str:
 def surrogate(value: str, key: str = KEY) -> str:
     """SQL for the surrogate of one entity (a SQL expression of its text).
 
-    Most kinds keep a head (a key word, a country), permute the rest by shape
-    and, for card numbers, set the last digit so that its check holds as before.
+    Most kinds keep a head (a key word, a country) or tail (a top-level domain),
+    permute the rest by shape and, for card numbers, set the last digit so that
+    its check holds as before.
     """
     head = (
         rf"case kd when 'assigned' then regexp_extract(ev, {_q('^' + _ASSIGNED)}, 0) when 'key' then substr(ev, 1, 4) when 'iban' then substr(ev, 1, 2)"
         r" when 'phone' then regexp_extract(ev, '^(\\+\\d{1,3}(?=[ .(-]))?', 0) else '' end"
     )
-    rest = "case kd when 'card' then substr(ev, 1, length(ev) - 1) when 'ipv6' then lower(ev) else substr(ev, length(hw) + 1) end"
+    rest = "case kd when 'card' then substr(ev, 1, length(ev) - 1) when 'email' then regexp_replace(ev, '[.][A-Za-z]+$', '') when 'ipv6' then lower(ev) else substr(ev, length(hw) + 1) end"
     mode = "case when kd = 'ipv6' or kd in ('hex', 'assigned') and rw rlike '^[0-9a-f]+$' then 'h' when kd in ('hex', 'assigned') and rw rlike '^[0-9A-F]+$' then 'H' else '' end"
     new, old = "regexp_replace(nr, '[^0-9]', '')", "regexp_replace(rw, '[^0-9]', '')"
-    last = f"case when kd = 'card' then cast(pmod({_check_digit(new)} + cast(substr(ev, -1) as int) - {_check_digit(old)} + 10, 10) as string) else '' end"
+    last = f"case when kd = 'card' then cast(pmod({_check_digit(new)} + cast(substr(ev, -1) as int) - {_check_digit(old)} + 10, 10) as string) when kd = 'email' then regexp_extract(ev, '[.][A-Za-z]+$', 0) else '' end"
     shaped = _let("hw", head, _let("rw", rest, _let("hm", mode, _let("nr", _by_shape("rw", f"concat({_q(key + ':')}, kd, ':')", _any_char), f"concat(hw, nr, {last})"))))
     return _let("ev", value, _let("kd", kind_of("ev"), f"case kd when 'ipv4' then {_ipv4('ev', key)} when 'name' then {_name('ev', key)} else {shaped} end"))
 
