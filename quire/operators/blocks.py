@@ -77,41 +77,44 @@ def merged_paragraphs(rows: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("__island").cast("int").alias("block_no"), "text", F.expr(T.word_count("text")).alias("n_words"))
 
 
+def _bare_lines(text: str) -> str:
+    return f"filter(transform({T.lines(text)}, l -> {T.strip('l')}), l -> l <> '')"
+
+
 def block_kind(text: str = "text") -> str:
-    """SQL for L (listing), H (short heading), B (both), P (other)."""
-    rows = f"filter({T.lines(text)}, l -> {T.strip('l')} <> '')"
-    heading = rf"regexp_replace(regexp_extract({T.strip('l')}, r'{HEADING}', 2), r'[*_]+', '')"
-    short = rf"(size({rows}) > 0 and forall({rows}, l -> {T.strip('l')} rlike r'{HEADING}' and {T.word_count(heading)} <= 8))"
-    listing = (
-        rf"(size({rows}) > 0 and (forall({rows}, l -> {T.strip('l')} rlike r'^\|') or {T.strip(text)} rlike r'{PAGE_MARK}'"
-        rf" or size(filter({rows}, l -> {T.strip('l')} rlike r'{LEADER}')) / size({rows}) >= 0.6D))"
-    )
-    return f"case when {listing} and {short} then 'B' when {listing} then 'L' when {short} then 'H' else 'P' end"
+    """SQL for L (listing), H (short heading), B (both), P (other); the block's lines are split once."""
+    heading = rf"regexp_replace(regexp_extract(l, r'{HEADING}', 2), r'[*_]+', '')"
+    short = rf"forall(rs, l -> l rlike r'{HEADING}' and {T.word_count(heading)} <= 8)"
+    listing = rf"(forall(rs, l -> startswith(l, '|')) or {T.strip(text)} rlike r'{PAGE_MARK}' or size(filter(rs, l -> l rlike r'{LEADER}')) / size(rs) >= 0.6D)"
+    kind = f"case when size(rs) = 0 then 'P' when {listing} then if({short}, 'B', 'L') when {short} then 'H' else 'P' end"
+    return f"element_at(transform(array({_bare_lines(text)}), rs -> {kind}), 1)"
 
 
 def is_contents_heading(text: str = "text") -> str:
-    rows = f"filter({T.lines(text)}, l -> {T.strip('l')} <> '')"
-    title = rf"{T.strip(rf'''regexp_replace(regexp_extract({T.strip(f'{rows}[0]')}, r'{HEADING}', 2), r'[*_]+', '')''')}"
-    return f"(size({rows}) = 1 and lower({title}) in ({', '.join(repr(c) for c in CONTENTS)}))"
+    title = T.strip(rf"regexp_replace(regexp_extract(rs[0], r'{HEADING}', 2), r'[*_]+', '')")
+    is_one = f"size(rs) = 1 and lower({title}) in ({', '.join(repr(c) for c in CONTENTS)})"
+    # Few blocks start like a heading; only those are split.
+    return rf"({text} rlike r'^\s*#' and element_at(transform(array({_bare_lines(text)}), rs -> {is_one}), 1))"
 
 
 def without_contents(rows: DataFrame) -> DataFrame:
     """``blocks`` rows without the printed table of contents.
 
-    Each block is one letter of its document's shape; one pattern on the shape
-    after the first contents heading tells how many blocks go.
+    Each block after the first contents heading is one letter of its document's
+    shape; one pattern on the shape tells how many blocks go.  Only documents
+    with such a heading are classified, and the shape is aggregated once per
+    document; rows are partitioned by document throughout.
     """
     w = Window.partitionBy("doc_id")
-    rows = rows.withColumn("__kind", F.expr(block_kind())).withColumn("__head", F.expr(is_contents_heading()))
-    rows = rows.withColumn("__at", F.min(F.when(F.col("__head"), F.col("block_no"))).over(w))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("block_no") > F.col("__at"), F.struct("block_no", "__kind"))).over(w))
-    shape = F.array_join(F.transform(ordered, lambda x: x["__kind"]), "")
-    rows = rows.withColumn("__n", F.length(F.regexp_extract(shape, r"^(?:[LB]|H[HB]*L|H[HB]*B)+", 0)))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_no"))
-    rows = rows.withColumn("__rank", rank).withColumn("__first", F.min(F.when(F.col("__head"), F.col("__rank"))).over(w))
-    gone = (F.col("__n") > 0) & F.col("__rank").between(F.col("__first"), F.col("__first") + F.col("__n"))
-    kept = rows.where(~F.coalesce(gone, F.lit(False)))
-    return kept.drop("__kind", "__head", "__at", "__n", "__rank", "__first")
+    rows = rows.withColumn("__head", F.expr(is_contents_heading()))
+    rows = rows.withColumn("__rank", F.row_number().over(w.orderBy("block_no")))
+    rows = rows.withColumn("__first", F.min(F.when(F.col("__head"), F.col("__rank"))).over(w))
+    after = rows.where(F.col("__rank") > F.col("__first")).select("doc_id", F.struct("__rank", F.expr(block_kind()).alias("kind")).alias("k"))
+    shape = F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x["kind"]), "")
+    gone = after.groupBy(F.col("doc_id").alias("__doc")).agg(F.length(F.regexp_extract(shape, r"^(?:[LB]|H[HB]*L|H[HB]*B)+", 0)).alias("__n"))
+    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    drop = (F.col("__n") > 0) & F.col("__rank").between(F.col("__first"), F.col("__first") + F.col("__n"))
+    return out.where(~F.coalesce(drop, F.lit(False))).drop("__head", "__rank", "__first", "__doc", "__n")
 
 
 def without_watermarks(rows: DataFrame, hosts: DataFrame) -> DataFrame:

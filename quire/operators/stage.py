@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lineage import cut
 
 #: HTTP codes after which a call is tried again, and reasons that mean a refusal.
 RETRYABLE = frozenset([429, 500, 502, 503, 504])
@@ -79,9 +80,12 @@ def upper(system: str, text: str) -> str:
     return text.upper()
 
 
+_PSEUDO = str.maketrans(T.LATIN, T.CYRILLIC)
+
+
 def pseudo(system: str, text: str) -> str:
     """Letters exchanged for Cyrillic ones: what ``pseudo_translated`` is in SQL."""
-    return text.translate(str.maketrans(T.LATIN, T.CYRILLIC))
+    return text.translate(_PSEUDO)
 
 
 def bisected(transform: Transform, system: str, text: str) -> list[tuple[str, str]]:
@@ -192,16 +196,16 @@ def strict(rows: DataFrame) -> DataFrame:
 def translated(units: DataFrame, transform: Transform, gate: Column, system: str = "") -> DataFrame:
     """Units (text, ...) with candidate, failed (first gate), final and status.
 
-    One pass asks for every unit; those that fail the gate are dealt over the
+    One pass asks for every unit, and what came back is kept on shared storage; those that fail the gate are dealt over the
     cluster again and asked for alone with the ladder; what still fails keeps
     its source text.  ``gate`` reads the columns source and candidate.
     """
     first = answered(units, transform, system).withColumnsRenamed({"answer": "candidate", "status": "__first"}).withColumn("source", F.col("text"))
-    first = first.withColumn("failed", gate)
+    first = cut(first.withColumn("failed", gate))
     good = first.where("failed is null").withColumn("status", F.col("__first"))
     again = first.where("failed is not null").select(*units.columns).repartition("text")
     second = answered(again, transform, system).withColumnsRenamed({"answer": "candidate", "status": "__first"}).withColumn("source", F.col("text"))
-    second = second.withColumn("failed", gate)
+    second = cut(second.withColumn("failed", gate))
     status = F.when(F.col("failed").isNull(), F.lit("retried")).when(F.col("__first") == "blocked", "blocked").otherwise("verbatim")
     done = good.unionByName(second.withColumn("status", status))
     return done.withColumn("final", F.when(F.col("failed").isNull(), F.col("candidate")).otherwise(F.col("text"))).drop("__first", "source")
