@@ -46,3 +46,8 @@ def labels(rows: DataFrame) -> DataFrame:
 
 def figures(rows: DataFrame) -> DataFrame:
     return rows.groupBy("book_id").agg(F.count(F.lit(1)).alias("figures"), F.countDistinct("page").alias("pages"))
+
+
+def sample_pairs(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` before and after pairs (pre, final) in order of chunk and unit: a sample to look at, a limit by purpose."""
+    return rows.orderBy("chunk_no", "unit_no").limit(n).select("chunk_no", "unit_no", "pre", "final")

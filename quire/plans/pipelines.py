@@ -32,13 +32,13 @@ def convert(docs: DataFrame, transform: Transform, meta: DataFrame, hosts: DataF
     return markdown.finalized(done.select("doc_id", "chunk_no", F.col("cleaned").alias("text")), meta, hosts)
 
 
-def translate(pages: DataFrame, transform: Transform, target: str = "bg", gate: Column | None = None, name_contains: str | None = None) -> tuple[DataFrame, DataFrame]:
+def translate(pages: DataFrame, transform: Transform, target: str = "bg", gate: Column | None = None, name_contains: str | None = None, system: str = "") -> tuple[DataFrame, DataFrame]:
     """(pages rewritten, unit results) of pages (doc_id, html[, name])."""
     if name_contains is not None:
         pages = pages.where(F.col("name").contains(name_contains))
     found = units.units(pages)
     gate = gate if gate is not None else gates.translation_gate(target=f"'{target}'")
-    done = stage.translated(found.where("not unsafe"), transform, gate)
+    done = stage.translated(found.where("not unsafe"), transform, gate, system)
     results = done.select("doc_id", "unit_no", "text", "final", "status", "failed", "candidate")
     return units.rewritten(pages, results.where("final <> text").select("doc_id", "unit_no", F.col("final").alias("text"))), results
 

@@ -152,6 +152,27 @@ def test_packages(spark, tmp_path):
         epub.opf_path(b"<container/>")
 
 
+def test_packages_are_translated(spark):
+    from quire.plans import packages, prompts
+
+    book = epub.compiled("Title", "A", "en", [("First chapter", "<p>Hello <b>there</b> friend</p>"), ("Second chapter", "<p>REFUSE</p>")])
+
+    def model(system, text):
+        assert "Bulgarian" in system or not system
+        if "REFUSE" in text:
+            raise stage.Blocked()
+        return stage.pseudo(system, text)
+
+    books = spark.createDataFrame([("a", book), ("b", book)], "book_id string, content binary")
+    out = {r.book_id: epub.unpacked(bytes(r.content)) for r in packages.translate(books, stage.Transform("m", model, delay=0), suffix="[BG]").collect()}
+    old, new = epub.unpacked(book), out["a"]
+    assert out["a"] == out["b"] and set(old) == set(new) and new["OPS/ch0002.xhtml"] == old["OPS/ch0002.xhtml"]
+    text = new["OPS/ch0001.xhtml"].decode()
+    assert f"{stage.pseudo('', 'Hello')} <b>{stage.pseudo('', 'there')}</b>" in text and stage.pseudo("", "First chapter") in new["OPS/nav.xhtml"].decode()
+    assert b">bg<" in new["OPS/package.opf"] and b"Title [BG]" in new["OPS/package.opf"]
+    assert prompts.system(prompts.TRANSLATE, "de", "- a -> b").count("German") == 1
+
+
 def test_figures(spark):
     grid = [(100.0, 100.0 + 4 * i, 300.0, 101.0 + 4 * i) for i in range(40)]
     assert figures.clusters(grid, 400, 600) == [(96.0, 96.0, 306.0, 258.0)]
