@@ -64,11 +64,14 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|href|hidden|aria-hidden)(?:
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "label")
+    __slots__ = ("tag", "attrs", "kids", "label", "form")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids = tag, attrs, []
-        self.label = tag if not attrs.get("class") and not attrs.get("id") else f"{tag}.{' '.join(sorted((attrs.get('class', '') + ' ' + attrs.get('id', '')).lower().split()))}"
+        self.tag, self.attrs, self.kids, self.form = tag, attrs, [], None
+        self.label = tag
+        if attrs and (attrs.get("class") or attrs.get("id")):
+            named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().replace("(", "").replace(")", "")
+            self.label = f"{tag}.{' '.join(sorted(named.split()))}"
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -102,7 +105,7 @@ def parse(html: str | None) -> Node:
             if m.group().startswith("<![CDATA["):
                 stack[-1].kids.append(m.group()[9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
-        tag = tag.lower()
+        tag = tag.lower().replace("(", "").replace(")", "")
         if m.group(1):
             close(tag, frozenset() if tag in BLOCK else BLOCK)
             continue
@@ -142,12 +145,16 @@ def _open_inline(stack) -> bool:
 def skipped(node: Node, inside: bool) -> bool:
     """Whether a node's role says that it is no article text; ``inside``: an article is around it."""
     a = node.attrs
-    if node.tag in SKIPPED or (node.tag == "header" and not inside) or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    if node.tag in SKIPPED or (node.tag == "header" and not inside):
         return True
-    if a.get("role", "").lower() in ROLES or "comment" in a.get("itemprop", "").lower():
+    if not a:
+        return False
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or "comment" in a.get("itemprop", "").lower():
         return True
+    if not a or node.tag in ("html", "body", "article", "main"):
+        return False
     named = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    return named != " " and node.tag not in ("html", "body", "article", "main") and bool(NOISE.search(named))
+    return named != " " and bool(NOISE.search(named))
 
 
 # ---- shapes and simple tree matching ------------------------------------------------
@@ -156,6 +163,12 @@ def skipped(node: Node, inside: bool) -> bool:
 
 
 def shape(node: Node):
+    if node.form is None:
+        node.form = _shape(node)
+    return node.form
+
+
+def _shape(node: Node):
     kids: list = []
     for k in node.kids:
         if isinstance(k, str):
@@ -217,7 +230,7 @@ def merged(a, b, memo: dict | None = None):
 
 
 def _dump(s) -> str:
-    return f"{s[0].replace('(', '').replace(')', '')}({''.join(map(_dump, s[1]))})"
+    return f"{s[0]}({''.join(map(_dump, s[1]))})"
 
 
 def _load(text: str):
@@ -232,19 +245,6 @@ def _load(text: str):
     return stack[0][1][0]
 
 
-def _clean_labels(node: Node) -> None:
-    node.label = node.label.replace("(", "").replace(")", "")
-    for k in node.kids:
-        if not isinstance(k, str):
-            _clean_labels(k)
-
-
-def page(html: str | None) -> Node:
-    root = parse(html)
-    _clean_labels(root)
-    return root
-
-
 # ---- texts by wrapper node -----------------------------------------------------------
 
 
@@ -293,7 +293,7 @@ def _group_shape(group):
 def constants_of(html: str | None, wrapper) -> dict[str, int]:
     """Hash of the text at every wrapper node of a page (repeated nodes together)."""
     texts: dict[str, list[str]] = {}
-    for path, node in slots(page(html), wrapper):
+    for path, node in slots(parse(html), wrapper):
         own = " ".join(_own_text(node).split())
         if own:
             texts.setdefault(path, []).append(own)
@@ -308,7 +308,7 @@ def hash64(text: str) -> int:
 
 def extract(html: str | None, wrapper=None, template: frozenset = frozenset()) -> str:
     """Article text: blocks in page order, white space folded, joined by one space."""
-    root = page(html)
+    root = parse(html)
     path_of = {id(n): p for p, n in slots(root, wrapper)} if wrapper is not None and template else {}
     marked = _has(root, ARTICLE)
     blocks: list[str] = []
@@ -421,7 +421,7 @@ def _by_page(pages: DataFrame, work, schema: str, wrappers=None) -> DataFrame:
 
 def induce(pages: DataFrame) -> DataFrame:
     """(host, wrapper, paths) of every host of ``pages`` (host, html): its wrapper tree and the nodes that are template."""
-    shapes = _by_page(pages.select("host", "html"), lambda r, w, p: [(r["host"], _dump(shape(page(r["html"]))))], "host string, wrapper string")
+    shapes = _by_page(pages.select("host", "html"), lambda r, w, p: [(r["host"], _dump(shape(parse(r["html"]))))], "host string, wrapper string")
     shapes = shapes.groupBy("host", "wrapper").agg(F.count(F.lit(1)).alias("n"))
     salted = shapes.select("host", "wrapper", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).alias("salt"))
     parts = _fold(salted.repartition("host", "salt").select("host", "wrapper"))

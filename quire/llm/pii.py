@@ -233,7 +233,11 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def report(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text with surrogates and n_entities of every row of ``docs`` (doc_id, text)."""
+    """doc_id, text with surrogates and n_entities of every row of ``docs`` (doc_id, text).
+
+    Null texts stay null with 0 entities; repeated rows get equal results; an
+    empty table gives no rows; other columns are not read.
+    """
     rows = docs.select("doc_id", F.col("text").alias("__text"))
     rows = rows.withColumn("n_entities", F.expr(f"cast(coalesce(size(regexp_extract_all(__text, {_q(PATTERN)}, 0)), 0) as bigint)"))
     return rows.selectExpr("doc_id", f"case when n_entities > 0 then {replaced('__text', key)} else __text end as text", "greatest(n_entities, 0L) as n_entities")

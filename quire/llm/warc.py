@@ -156,7 +156,9 @@ def response(page_id, url: str | None, html: str | None) -> bytes:
 def write_records(pages: DataFrame) -> DataFrame:
     """(page_id, url, warc) of every row of ``pages`` (page_id, url, html): the three records as bytes, response first.
 
-    Written out in order of page_id they make a valid WARC file.
+    Written out in order of page_id they make a valid WARC file.  Null urls and
+    html are empty, repeated rows make equal records with equal ids, an empty
+    table gives no rows; other columns are not read.
     """
 
     def run(batches):
