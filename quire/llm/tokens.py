@@ -28,7 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's tokenizer cuts text before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("start", "major", "share")
-#: Characters encoded at a time; a longer text is cut at line ends, where no token but white space crosses.
+#: Characters encoded at a time.  A longer text is cut before white space that follows something else: every alternative of
+#: ``SPLIT`` that begins earlier ends there, so the pieces have the tokens of the whole.
 PIECE = 1 << 20
 
 
@@ -46,9 +47,9 @@ class Encoder:
         """End of each token of a whole text, in bytes."""
         pieces, lo = [], 0
         while lo < len(text):
-            hi = len(text) if len(text) - lo <= PIECE else text.rfind("\n", lo, lo + PIECE)
-            if hi <= lo:
-                hi = next((i for i in (text.find("\n", lo + PIECE), text.find(" ", lo + PIECE)) if i > 0), len(text))
+            hi = lo + PIECE
+            while hi < len(text) and (text[hi] not in " \n" or text[hi - 1].isspace()):
+                hi += 1
             pieces.append(np.array(self.encoding.encode_ordinary(text[lo:hi]), np.int64))
             lo = hi
         return np.cumsum(self.lengths[np.concatenate(pieces)]) if pieces else np.zeros(0, np.int64)
