@@ -86,7 +86,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, cap: float = CAP):
     b = b.withColumn("copies", times.cast("int")).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
     before = F.sum("block_size").over(Window.partitionBy("source").orderBy("block")) - F.col("block_size")
     b = b.withColumn("before", before)
-    b = cut(b.withColumn("whole", F.col("before") + F.col("block_size") <= F.col("rest")))
+    b = cut(b.withColumn("whole", (F.col("rest") > 0) & (F.col("before") + F.col("block_size") <= F.col("rest"))))
     edge = b.where("not whole and before < rest").select(F.col("source").alias("es"), F.col("block").alias("eb"), (F.col("rest") - F.col("before")).alias("room"))
     inside = rows.join(edge, rows["source"].eqNullSafe(F.col("es")) & (rows["block"] == F.col("eb")))
     # Rows that share a place are taken or left together.

@@ -60,12 +60,15 @@ def test_crossing_tokens():
     assert tokens.attribute(starts, ends, np.array([0, 4]), np.array([4, 8]), "share")[0].tolist() == [1.5, 1.5]
 
 
-def test_long_text_is_cut_without_loss(monkeypatch, spark):
+def test_pieces_have_the_tokens_of_the_whole(monkeypatch, spark):
     enc = tokens.Encoder(tokens.vocabulary(spark, tokens.VOCABULARY))
-    text = "some words here\nand there " * 200
-    whole = enc.byte_ends(text)
-    monkeypatch.setattr(tokens, "PIECE", 500)
-    assert enc.byte_ends(text)[-1] == whole[-1] == len(text) and abs(len(enc.byte_ends(text)) - len(whole)) <= len(text) // 400
+    rng = random.Random(4)
+    parts = ["some", "words", "it's", "x1y22", "\u65e5\u672c", " ", "  ", "\n", "\n \n  ", "\t", "\u00a0", " \u2003", "\x1c", "...", "\r\n", "a" * 90]
+    texts = ["some words here\nand there " * 200, "".join(rng.choices(parts, k=3000)), "y" * 2000, " " * 900 + "z" * 900]
+    whole = [enc.byte_ends(t) for t in texts]
+    for piece in (50, 64, 333):
+        monkeypatch.setattr(tokens, "PIECE", piece)
+        assert all(np.array_equal(enc.byte_ends(t), w) for t, w in zip(texts, whole, strict=True))
 
 
 # ---- 2: toxicity ----
@@ -332,6 +335,13 @@ def test_mix(spark, sf_dir):
     assert copies == collections.Counter({r.doc_id: r.copies for r in rows if r.copies}) and {r.mix_shard for r in out} <= set(range(mixing.SHARDS))
 
 
+def test_mix_leaves_sources_without_words_out(spark):
+    docs = spark.createDataFrame([(1, "", "a"), (2, None, "a"), (3, "one two", "b"), (4, "", "b")], "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert rows[1].copies == rows[2].copies == 0 and rows[1].target == 0 and rows[3].taken == 2 and all(r.copies <= mixing.CAP for r in rows.values())
+    assert {r.doc_id for r in mixing.sharded(docs).collect()} <= {3, 4}
+
+
 def test_tree_is_hypergeometric(spark):
     blocks = spark.createDataFrame([(s, b, d) for s in ("a", "b") for b in range(40) for d in [1 + (b % 2)]], "source string, block int, draws int")
     rows = mixing.split(blocks, 4).collect()
