@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lineage import cut
-from ..operators import gates, stage, units
+from ..operators import checkpoints, gates, stage, units
 from ..operators.stage import Transform
 from ..sources import epub
 from . import pipelines, prompts
@@ -64,23 +66,82 @@ def _with_metadata(found: DataFrame, language: str, suffix: str | None) -> DataF
     return found.where(F.col("name").endswith(".opf")).select("book_id", "name", "content").mapInArrow(run, _FILE)
 
 
-def translate(books: DataFrame, transform: Transform, language: str = "bg", suffix: str | None = None, glossary: str = "") -> DataFrame:
+def _parts(books: DataFrame, name_contains: str | None):
+    """(entries, documents with their place in the book, navigation documents) of packages (book_id, content)."""
+    found = epub.entries(books)
+    package = cut(epub.packages(found))
+    nav = epub.nav_documents(package, found)
+    spine = epub.spine_documents(package, found).join(nav, ["book_id", "name"], "left_anti")
+    if name_contains is not None:
+        spine = spine.where(F.col("name").contains(name_contains))
+    docs = _documents(found, spine).join(spine.select("book_id", "name", "pos"), ["book_id", "name"])
+    return found, docs, _documents(found, nav)
+
+
+def _put_together(found: DataFrame, docs: DataFrame, new: DataFrame, navs: DataFrame, labels: DataFrame, language: str, suffix: str | None) -> DataFrame:
+    """(book_id, content) of packages with the documents ``new`` (doc_id, html), other labels and metadata."""
+    body = docs.select("book_id", "name", "doc_id").join(new, "doc_id")
+    changed = cut(_written(body).union(_written(_relabelled(navs, labels))).union(_with_metadata(found, language, suffix)))
+    rest = found.select("book_id", "name", "content").join(changed.select("book_id", "name"), ["book_id", "name"], "left_anti")
+    return epub.repacked(rest.union(changed))
+
+
+def translate(
+    books: DataFrame, transform: Transform, language: str = "bg", suffix: str | None = None, glossary: str = "",
+    name_contains: str | None = None, words: int = pipelines.TRANSLATE_WORDS, max_chunks: int | None = None, store: str | None = None,
+) -> DataFrame:
     """(book_id, content): packages (book_id, content) with documents, navigation and metadata in another language.
 
     Navigation documents are not translated as body text, so no label is asked
     for twice; documents that nothing changes stay as they are, byte for byte.
     """
-    found = epub.entries(books)
-    package = cut(epub.packages(found))
-    nav = epub.nav_documents(package, found)
-    spine = epub.spine_documents(package, found).join(nav, ["book_id", "name"], "left_anti")
-    docs, navs = _documents(found, spine), _documents(found, nav)
-    asked = Transform(f"{transform.ident}:{language}", transform.fn, transform.tries, transform.retries, transform.delay, transform.max_delay, transform.fallback)
-    new, results = pipelines.translate(docs.select("doc_id", "html"), asked, language, system=prompts.system(prompts.TRANSLATE, language, glossary))
+    found, docs, navs = _parts(books, name_contains)
+    asked = replace(transform, ident=f"{transform.ident}:{language}")
+    system = prompts.system(prompts.TRANSLATE, language, glossary)
+    new, results = pipelines.translate(docs.select("doc_id", "html"), asked, language, system=system, words=words, max_chunks=max_chunks, store=store)
     touched = results.where("final <> text").select("doc_id").distinct()
-    body = docs.drop("html").join(new, "doc_id").join(touched, "doc_id", "left_semi")
     labels = translated_labels(navs.select("doc_id", "html"), asked, gates.label_gate(target=f"'{language}'"))
-    changed = _written(body).union(_written(_relabelled(navs, labels))).union(_with_metadata(found, language, suffix))
-    changed = cut(changed)
-    rest = found.select("book_id", "name", "content").join(changed.select("book_id", "name"), ["book_id", "name"], "left_anti")
-    return epub.repacked(rest.union(changed))
+    return _put_together(found, docs, new.join(touched, "doc_id", "left_semi"), navs, labels, language, suffix)
+
+
+def to_polish(books: DataFrame, sources: DataFrame | None = None, prior: DataFrame | None = None, name_contains: str | None = None) -> DataFrame:
+    """Units (book_id, pos, doc_id, unit_no, shown, text, pre) of packages to polish.
+
+    ``shown`` is what the package has.  With ``prior`` (doc_id, unit_no, text,
+    source_fp) the packages are the originals and earlier results are put over
+    them where their fingerprint fits; with ``sources`` they are translations,
+    and the unit of the same place in the original is their source; otherwise a
+    unit is its own source.
+    """
+    _, docs, _ = _parts(books, name_contains)
+    place = docs.select("doc_id", "book_id", "pos")
+    found = units.units(docs.select("doc_id", "html")).where("not unsafe").select("doc_id", "unit_no", "text").join(place, "doc_id")
+    found = found.withColumn("shown", F.col("text"))
+    if prior is not None:
+        return checkpoints.applied(found, prior)
+    found = found.withColumn("pre", F.col("text"))
+    if sources is not None:
+        _, old, _ = _parts(sources, name_contains)
+        old = units.units(old.select("doc_id", "html")).select("doc_id", "unit_no", F.col("text").alias("__source"))
+        found = found.join(old, ["doc_id", "unit_no"], "left").withColumn("text", F.coalesce("__source", "text")).drop("__source")
+    return found
+
+
+def polish(
+    books: DataFrame, transform: Transform, sources: DataFrame | None = None, prior: DataFrame | None = None, untranslated_only: bool = False, show_source: bool = False,
+    suffix: str | None = None, glossary: str = "", name_contains: str | None = None, words: int = pipelines.POLISH_WORDS, max_chunks: int | None = None, store: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(packages (book_id, content), unit results): polished text, labels still in another language, and metadata.
+
+    Narrowing the work (``untranslated_only``, ``max_chunks``) never narrows
+    what is applied: every unit has its best text.  For a trial run look at the
+    results (``report.sample_pairs``, ``report.polish``) and leave the packages.
+    """
+    found, docs, navs = _parts(books, name_contains)
+    system = prompts.system(prompts.POLISH, None, glossary)
+    best = to_polish(books, sources, prior, name_contains)
+    results = cut(pipelines.polish(best, transform, untranslated_only, show_source, system, words, "book_id", "pos", max_chunks, store))
+    changes = results.where("final <> shown").select("doc_id", "unit_no", F.col("final").alias("text"))
+    new = units.rewritten(docs.join(changes.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "html"), changes)
+    labels = polished_labels(navs.select("doc_id", "html"), transform)
+    return _put_together(found, docs, new, navs, labels, "bg", suffix), results

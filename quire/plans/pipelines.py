@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocks as B
-from ..operators import gates, pack, stage, units
+from ..operators import batches, gates, pack, stage, units, wire
 from ..operators.stage import Transform
 from ..sources import markdown
 
@@ -32,23 +32,40 @@ def convert(docs: DataFrame, transform: Transform, meta: DataFrame, hosts: DataF
     return markdown.finalized(done.select("doc_id", "chunk_no", F.col("cleaned").alias("text")), meta, hosts)
 
 
-def translate(pages: DataFrame, transform: Transform, target: str = "bg", gate: Column | None = None, name_contains: str | None = None, system: str = "") -> tuple[DataFrame, DataFrame]:
-    """(pages rewritten, unit results) of pages (doc_id, html[, name])."""
+def translate(
+    pages: DataFrame, transform: Transform, target: str = "bg", gate: Column | None = None, name_contains: str | None = None, system: str = "",
+    words: int = TRANSLATE_WORDS, max_chunks: int | None = None, store: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(pages rewritten, unit results) of pages (doc_id, html[, name]), translated in chunks of ``words``.
+
+    ``max_chunks``: of every document only the first chunks.  ``store``: a folder of answers, with which a rerun resumes.
+    """
     if name_contains is not None:
         pages = pages.where(F.col("name").contains(name_contains))
-    found = units.units(pages)
+    found = units.units(pages).where("not unsafe").select("doc_id", "unit_no", "n_words", "text", F.col("text").alias("source"))
     gate = gate if gate is not None else gates.translation_gate(target=f"'{target}'")
-    done = stage.translated(found.where("not unsafe"), transform, gate, system)
-    results = done.select("doc_id", "unit_no", "text", "final", "status", "failed", "candidate")
+    done = batches.in_chunks(found, transform, gate, system=system, target=words, max_chunks=max_chunks, store=store, stage="translate")
+    results = done.select("doc_id", "unit_no", "chunk_no", "text", "final", "status", "failed", "candidate")
     return units.rewritten(pages, results.where("final <> text").select("doc_id", "unit_no", F.col("final").alias("text"))), results
 
 
-def polish(found: DataFrame, transform: Transform, untranslated_only: bool = False) -> DataFrame:
-    """Units (doc_id, unit_no, text, pre) with final and status: all units come back, also those not worked on."""
-    work = found.where(F.expr(T.looks_untranslated("pre"))) if untranslated_only else found
-    asked = work.select("doc_id", "unit_no", F.col("text").alias("unit_text"), F.col("pre").alias("text"))
-    gate = gates.polish_gate(pre="source", source="unit_text")
-    done = stage.translated(asked, transform, gate).select("doc_id", "unit_no", F.col("final").alias("__final"), "status")
+def polish(
+    found: DataFrame, transform: Transform, untranslated_only: bool = False, show_source: bool = False, system: str = "", words: int = POLISH_WORDS,
+    book: str = "doc_id", pos: str = "unit_no", max_chunks: int | None = None, store: str | None = None,
+) -> DataFrame:
+    """Units (doc_id, unit_no, text, pre) with final, status and was_untranslated: all come back, also those not worked on.
+
+    Chunks go across the documents of a ``book`` in order of ``pos``; a unit
+    without pre is taken as its text.  ``show_source`` sends the text below pre.
+    """
+    found = found.withColumn("pre", F.coalesce("pre", "text")).withColumn("was_untranslated", F.expr(T.looks_untranslated("pre")))
+    work = found.where("was_untranslated") if untranslated_only else found
+    place = F.struct(F.col(pos).alias("pos"), "doc_id", "unit_no").alias("__at")
+    work = work.select(F.col(book).alias("__book"), place, "doc_id", "unit_no", "text", "pre", F.expr(T.word_count("pre")).alias("n_words"))
+    sent = wire.with_source("pre", "text") if show_source else "pre"
+    gate = gates.polish_gate(pre="pre", source="text")
+    done = batches.in_chunks(work, transform, gate, sent, "pre", system, words, "__book", "__at", max_chunks, store, "polish")
+    done = done.select("doc_id", "unit_no", F.col("final").alias("__final"), "status", "chunk_no")
     both = found.join(done, ["doc_id", "unit_no"], "left").withColumn("__best", F.coalesce("__final", "pre"))
     safe = gates.is_safe("text", "__best")
     return both.withColumn("final", F.when(safe, F.coalesce("__best", "text")).otherwise(F.col("text"))).drop("__final", "__best")

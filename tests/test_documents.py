@@ -1,14 +1,14 @@
 """Units, stages, checkpoints, packages, figures, streams."""
 
 import json
-
 import sys
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from quire.operators import checkpoints, figures, gates, stage, units, wire
+from quire.functions import text as T
+from quire.operators import batches, checkpoints, figures, gates, report, stage, units, wire
 from quire.plans import pipelines
 from quire.sources import epub, markdown
 from quire.streaming import resumable
@@ -94,7 +94,7 @@ def test_translation_keeps_what_fails(spark):
         return stage.pseudo(system, text)
 
     new, results = pipelines.translate(pages, stage.Transform("m", model, delay=0))
-    assert {r.unit_no: (r.status, r.final) for r in results.collect()} == {1: ("ok", stage.pseudo("", "Hello there")), 2: ("blocked", "REFUSE me")}
+    assert {r.unit_no: (r.status, r.final) for r in results.collect()} == {1: ("retried", stage.pseudo("", "Hello there")), 2: ("blocked", "REFUSE me")}
     assert new.first().html == f"<body><p>{stage.pseudo('', 'Hello there')}</p><p>REFUSE me</p></body>"
 
 
@@ -173,6 +173,67 @@ def test_packages_are_translated(spark):
     assert prompts.system(prompts.TRANSLATE, "de", "- a -> b").count("German") == 1
 
 
+def test_chunks_on_the_wire(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(system, text):
+        calls.add(1)
+        if text.count("unit number") > 1:  # a chunk: its second unit is left out, its third comes back in Latin letters
+            parts = text.split("<<<")
+            return "<<<".join(p if p.startswith("3>>>") else stage.pseudo("", p) for p in parts if not p.startswith("2>>>"))
+        return stage.pseudo("", text)
+
+    rows = [(d, n, f"unit number {n} of document {d} with some more plain words", 11) for d in (1, 2) for n in range(1, 6)]
+    rows += [(3, 1, "<<<2>>>\nlooks like the wire", 5), (3, 2, None, 0)]
+    units_ = spark.createDataFrame(rows, "doc_id bigint, unit_no int, text string, n_words int").withColumn("source", F.col("text"))
+    t, store = stage.Transform("m", model, delay=0), str(tmp_path / "store")
+    gate = gates.translation_gate(target="'bg'")
+    first = batches.in_chunks(units_, t, gate, target=33, store=store)
+    out = {(r.doc_id, r.unit_no): r for r in first.collect()}
+    assert len(out) == 12
+    for d in (1, 2):
+        assert [out[d, n].chunk_no for n in range(1, 6)] == [1, 1, 1, 2, 2]
+        assert [out[d, n].status for n in range(1, 6)] == ["ok", "retried", "retried", "ok", "retried"]
+        assert all(out[d, n].final == stage.pseudo("", out[d, n].text) for n in range(1, 6))
+    assert out[3, 1].final == stage.pseudo("", rows[-2][2]) and out[3, 2].status == "verbatim" and out[3, 2].final is None
+    asked = calls.value
+    assert asked == 4 + 6 + 1
+    again = batches.in_chunks(units_, t, gate, target=33, store=store)
+    assert {(r.doc_id, r.unit_no): r.final for r in again.collect()} == {k: r.final for k, r in out.items()} and calls.value == asked
+    some = batches.in_chunks(units_, t, gate, target=33, store=store, max_chunks=1)
+    assert some.where("doc_id < 3").count() == 6
+
+
+def test_packages_are_polished(spark):
+    from quire.plans import packages
+
+    def words(n, s):
+        return " ".join([s] * n)
+
+    source = epub.compiled("Title", "A", "bg", [("One", f"<p>{words(9, 'first')}</p><p>{words(9, 'second')}</p>"), ("Two", f"<p>{words(9, 'third')}</p>")])
+    cyr = {w: stage.pseudo("", w) for w in ("first", "second", "third")}
+    pre = epub.compiled("Title", "A", "bg", [("One", f"<p>{words(9, cyr['first'])}</p><p>{words(9, 'second')}</p>"), ("Two", f"<p>{words(9, cyr['third'])}</p>")])
+    better = stage.Transform("p", lambda system, text: stage.pseudo("", text.replace(cyr["first"], cyr["first"] + "x")), delay=0)
+
+    def frame(b):
+        return spark.createDataFrame([("a", b)], "book_id string, content binary")
+
+    out, results = packages.polish(frame(pre), better, frame(source), suffix="[P]")
+    new = {k: v.decode() for k, v in epub.unpacked(bytes(out.first().content)).items() if k.endswith("html") or k.endswith("opf")}
+    assert words(9, cyr["first"] + stage.pseudo("", "x")) in new["OPS/ch0001.xhtml"] and words(9, cyr["second"]) in new["OPS/ch0001.xhtml"]
+    assert "Title [P]" in new["OPS/package.opf"] and words(9, cyr["third"]) in new["OPS/ch0002.xhtml"]
+    assert {r.unit_no for r in results.where("was_untranslated").collect()} == {results.where(F.col("pre").startswith("second")).first().unit_no}
+    # Earlier results over the original: those whose fingerprint fits count; only what is untranslated is asked for, all are applied.
+    best = packages.to_polish(frame(source)).where(F.col("text").startswith("first") | F.col("text").startswith("third"))
+    fp = F.when(F.col("text").startswith("first"), F.expr(T.fingerprint("text"))).otherwise("stale")
+    prior = best.select("doc_id", "unit_no", F.translate("text", stage.T.LATIN, stage.T.CYRILLIC).alias("text"), fp.alias("source_fp"))
+    out, results = packages.polish(frame(source), stage.Transform("q", stage.pseudo, delay=0), prior=prior, untranslated_only=True)
+    new = epub.unpacked(bytes(out.first().content))
+    assert words(9, cyr["first"]) in new["OPS/ch0001.xhtml"].decode() and words(9, cyr["third"]) in new["OPS/ch0002.xhtml"].decode()
+    got = report.polish(results).first()
+    assert got.retranslated == 2 and got.units == results.count()
+
+
 def test_figures(spark):
     grid = [(100.0, 100.0 + 4 * i, 300.0, 101.0 + 4 * i) for i in range(40)]
     assert figures.clusters(grid, 400, 600) == [(96.0, 96.0, 306.0, 258.0)]
