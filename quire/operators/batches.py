@@ -48,14 +48,14 @@ def remembered(rows: DataFrame, transform: Transform, system: str, column: str,
     return keyed.join(have, keys, "left").withColumn("status", F.coalesce("status", F.lit("failed"))).drop(*keys)
 
 
-def _clean(answer: str) -> Column:
-    """The text of an answer without its number, outer line ends and echoed labels."""
-    return F.expr(T.without_labels(rf"regexp_replace(regexp_replace({answer}, r'^\s*<<<1>>>[ \t]*', ''), r'^\n+|\n+\z', '')"))
+def _unnumbered(answer: str) -> str:
+    """SQL for an answer without its number and outer line ends."""
+    return rf"regexp_replace(regexp_replace({answer}, r'^\s*<<<1>>>[ \t]*', ''), r'^\n+|\n+\z', '')"
 
 
 def in_chunks(
     units: DataFrame, transform: Transform, gate: Column, sent: str = "text", kept: str = "text", system: str = "", target: int = 1500,
-    key: str = "doc_id", order: str = "unit_no", max_chunks: int | None = None, store: str | None = None, stage: str = "units",
+    key: str = "doc_id", order: str = "unit_no", max_chunks: int | None = None, store: str | None = None, stage: str = "units", labels: bool = False,
 ) -> DataFrame:
     """``units`` (key, order, n_words, ...) with chunk_no, candidate, failed (first gate), final and status.
 
@@ -64,7 +64,9 @@ def in_chunks(
     are ok, retried, fallback, blocked and verbatim.  With ``max_chunks`` only
     units of the first chunks of every key come back.  Units whose text has
     numbers like those of the wire are sent alone; null texts are not sent.
+    ``labels``: answers may repeat ``[BG]``/``[EN]`` labels, which go.
     """
+    bare = T.without_labels if labels else str
     rows = pack.with_tail_merged(pack.packed(units, target, key, order), target, TAIL, key)
     if max_chunks is not None:
         rows = pack.first_chunks(rows, max_chunks)
@@ -77,7 +79,7 @@ def in_chunks(
     chunks = wire.render(rows.where(~F.col("__alone")), chunk, "__no", "__sent")
     said = remembered(chunks, replace(transform, tries=1, fallback=None), system, "payload", store, stage)
     said = said.where("answer is not null").select(*chunk, F.col("answer").alias("payload"), "expected")
-    parsed = wire.parse(said, chunk).select(*chunk, F.col("unit_no").alias("__no"), F.expr(T.without_labels("text")).alias("candidate"), F.lit(False).alias("__alone"))
+    parsed = wire.parse(said, chunk).select(*chunk, F.col("unit_no").alias("__no"), F.expr(bare("text")).alias("candidate"), F.lit(False).alias("__alone"))
     first = rows.join(parsed, [*chunk, "__no", "__alone"], "left")
     first = cut(first.withColumn("failed", gate))
 
@@ -85,7 +87,7 @@ def in_chunks(
     good = first.where("failed is null").withColumn("status", F.lit("ok")).select(*cols)
     again = first.where("failed is not null").drop("candidate", "failed").withColumn("__one", F.concat(F.lit(ALONE), "__sent")).repartition(key, order)
     second = remembered(again, transform, system, "__one", store, f"{stage}:alone").withColumnRenamed("status", "__said")
-    second = cut(second.withColumn("candidate", _clean("answer")).withColumn("failed", gate))
+    second = cut(second.withColumn("candidate", F.expr(bare(_unnumbered("answer")))).withColumn("failed", gate))
     how = F.when(F.col("failed").isNotNull(), F.when(F.col("__said") == "blocked", "blocked").otherwise("verbatim")).when(F.col("__said") == "fallback", "fallback").otherwise("retried")
     done = good.unionByName(second.withColumn("status", how).select(*cols))
     return done.withColumn("final", F.when(F.col("failed").isNull(), F.col("candidate")).otherwise(F.col(kept)))

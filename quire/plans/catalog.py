@@ -514,7 +514,9 @@ def convert_documents(spark, d):
     return pipelines.convert(docs, stage.Transform("identity", stage.identity, delay=0), meta)
 
 
-@query()
+@query(f"""with p as (select conv_id, turn, text, case when turn % 2 = 0 then {_dpseudo('text')} else text end as source from conversations),
+c as (select *, {_ds(_dpseudo('source'))} as candidate, {_duntranslated('source')} as raw from p), f as (select *, {_DPOLISH} as failed from c)
+select conv_id as doc_id, turn as unit_no, case when raw and failed is null then candidate else source end as final, case when raw then case when failed is null then 'ok' else 'verbatim' end end as status from f""")
 def polish_units(spark, d):
     rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit_no"), "text", F.expr(f"case when turn % 2 = 0 then {T.pseudo_translated('text')} else text end").alias("pre"))
     return pipelines.polish(rows, stage.Transform("pseudo-1", stage.pseudo, delay=0), untranslated_only=True).select("doc_id", "unit_no", "final", "status")

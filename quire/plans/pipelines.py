@@ -64,7 +64,7 @@ def polish(
     work = work.select(F.col(book).alias("__book"), place, "doc_id", "unit_no", "text", "pre", F.expr(T.word_count("pre")).alias("n_words"))
     sent = wire.with_source("pre", "text") if show_source else "pre"
     gate = gates.polish_gate(pre="pre", source="text")
-    done = batches.in_chunks(work, transform, gate, sent, "pre", system, words, "__book", "__at", max_chunks, store, "polish")
+    done = batches.in_chunks(work, transform, gate, sent, "pre", system, words, "__book", "__at", max_chunks, store, "polish", labels=True)
     done = done.select("doc_id", "unit_no", F.col("final").alias("__final"), "status", "chunk_no")
     both = found.join(done, ["doc_id", "unit_no"], "left").withColumn("__best", F.coalesce("__final", "pre"))
     safe = gates.is_safe("text", "__best")
