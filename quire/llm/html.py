@@ -315,7 +315,7 @@ def extract(html: str | None, wrapper=None, template: frozenset = frozenset()) -
     buffer: list[str] = []
 
     def flush():
-        text = " ".join(unescape("".join(buffer)).split())
+        text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
             blocks.append(text)
@@ -338,7 +338,7 @@ def extract(html: str | None, wrapper=None, template: frozenset = frozenset()) -
         for k in node.kids:
             if isinstance(k, str):
                 if (inside or not marked) and not drop:
-                    buffer.append(k)
+                    buffer.append(unescape(k))  # each text alone: a reference never goes on in the next element
             elif k.tag in VOID:
                 buffer.append(" ") if k.tag in ("br", "hr") else None
             elif not skipped(k, inside):

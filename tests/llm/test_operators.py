@@ -361,6 +361,10 @@ def test_main_text(spark):
         assert got[r.page_id].text == " ".join(stdhtml.unescape(text).split()) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def test_references_end_with_their_element():
+    assert html.extract("<article><p>a &am<b>p;</b> b &amp;<i>lt;</i> &lt;c&gt;&nbsp;&#233;</p></article>") == "a &amp; b &lt; <c> \u00e9"
+
+
 def test_tree_matching():
     a, b = ("x", (("p", ()), ("q", (("r", ()),)), ("s", ()))), ("x", (("q", (("t", ()),)), ("s", ()), ("u", ())))
     assert html.aligned(a, b) == [(0, None), (1, 0), (2, 1), (None, 2)]
