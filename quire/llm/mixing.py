@@ -99,20 +99,35 @@ def plan(rows: DataFrame, weights=WEIGHTS, cap: float = CAP):
     return goal, cut(out.select("source", "block", "copies", upto.cast("bigint").alias("upto")))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
+def _dealt(rows: DataFrame, weights, cap: float, shards: int, seed: int):
+    """(targets by source, blocks): ``plan``'s blocks that the tree drew, with the shard of each drawn copy (a map)."""
+    goal, blocks = plan(rows, weights, cap)
+    drawn = cut(split(blocks.select("source", "block", (F.col("copies") + (F.col("upto") >= 0).cast("int")).alias("draws")), shards, seed))
+    shard = drawn.groupBy("source", "block").agg(F.map_from_entries(F.collect_list(F.struct("copy", "shard"))).alias("shard_of"))
+    b = blocks.join(shard.withColumnsRenamed({"source": "ss", "block": "sb"}), F.col("source").eqNullSafe(F.col("ss")) & (F.col("block") == F.col("sb")))
+    return goal, b.select(F.col("source").alias("__bs"), F.col("block").alias("__bb"), F.col("copies").alias("__times"), F.col("upto").alias("__upto"), "shard_of")
+
+
+def _copies(place: str):
+    """The drawn copies of a document, by its place, in a row joined with its block (null: no draw)."""
+    n = F.col("__times") + (F.col(place) <= F.col("__upto")).cast("int")
+    return F.filter(F.map_keys("shard_of"), lambda c: c <= n)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every row of ``docs`` (doc_id, text, source).
 
-    Null texts have size 0; null is a source of its own, the last.  An empty
-    table gives no rows; sources without words get target 0.  Rows that repeat
-    id and text are taken together.  Reruns over the same rows agree.
+    Copies are those that the tree deals to a shard; documents without draws
+    have 0.  Null texts have size 0; null is a source of its own, the last.  An
+    empty table gives no rows; sources without words get target 0.  Rows that
+    repeat id and text are taken together.  Reruns over the same rows agree.
     """
     rows = cut(slim(docs, seed))
-    goal, blocks = plan(rows, weights, cap)
-    goal, blocks = goal.withColumnRenamed("source", "s"), blocks.withColumnsRenamed({"source": "bs", "block": "bb"})
-    out = rows.join(blocks, rows["source"].eqNullSafe(F.col("bs")) & (rows["block"] == F.col("bb")))
-    out = out.join(goal, out["source"].eqNullSafe(F.col("s")))
-    copies = F.col("copies") + (F.col("place") <= F.col("upto")).cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    goal, blocks = _dealt(rows, weights, cap, shards, seed)
+    goal = goal.withColumnRenamed("source", "s")
+    out = rows.join(blocks, rows["source"].eqNullSafe(F.col("__bs")) & (rows["block"] == F.col("__bb")), "left")
+    out = out.join(goal, out["source"].eqNullSafe(F.col("s"))).withColumn("copies", F.when(F.col("shard_of").isNull(), 0).otherwise(F.size(_copies("place"))))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def split(blocks: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -144,17 +159,12 @@ def sharded(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int = SH
     mix_order sorts the rows of a shard; documents that are not taken are left out.
     """
     rows = cut(slim(docs, seed))
-    _, blocks = plan(rows, weights, cap)
-    drawn = cut(split(blocks.select("source", "block", (F.col("copies") + (F.col("upto") >= 0).cast("int")).alias("draws")), shards, seed))
-    shard = drawn.groupBy("source", "block").agg(F.map_from_entries(F.collect_list(F.struct("copy", "shard"))).alias("shard_of"))
-    b = blocks.join(shard.withColumnsRenamed({"source": "ss", "block": "sb"}), F.col("source").eqNullSafe(F.col("ss")) & (F.col("block") == F.col("sb")))
-    b = b.select(F.col("source").alias("__bs"), F.col("block").alias("__bb"), "copies", "upto", "shard_of")
+    _, b = _dealt(rows, weights, cap, shards, seed)
     place = _hash("doc_id", F.xxhash64("text"), seed=seed)
     all_rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("source").cast("string").alias("__s"), place.alias("__place"))
     all_rows = all_rows.withColumn("__b", (F.col("__place") * BLOCKS / _SPAN).cast("int"))
     out = all_rows.join(b, F.col("__s").eqNullSafe(F.col("__bs")) & (F.col("__b") == F.col("__bb")))
-    n = F.col("copies") + (F.col("__place") <= F.col("upto")).cast("int")
-    out = out.withColumn("__n", n).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n")))
+    out = out.withColumn("__copy", F.explode(_copies("__place")))
     added = {"mix_copy": F.col("__copy"), "mix_shard": F.element_at("shard_of", F.col("__copy")), "mix_order": F.xxhash64(F.lit(seed), "__place", "__copy")}
     taken = {c.lower() for c in docs.columns}
     return out.select("__row.*", *(c.alias(k if k not in taken else f"{k}_") for k, c in added.items()))

@@ -342,6 +342,17 @@ def test_mix_leaves_sources_without_words_out(spark):
     assert {r.doc_id for r in mixing.sharded(docs).collect()} <= {3, 4}
 
 
+def test_mixing_query_counts_what_the_tree_deals(spark, sf_dir, monkeypatch):
+    query, docs, split = __spark_entry__.queries()["op8_mixing"], table(spark, sf_dir, "documents"), mixing.split
+    dealt = collections.Counter(r.doc_id for r in mixing.sharded(docs).select("doc_id").collect())
+    assert all(r.taken == dealt[r.doc_id] * r.size for r in query(spark, sf_dir).collect())
+    monkeypatch.setattr(mixing, "split", lambda *a: split(*a).where("shard < 3"))
+    some = collections.Counter(r.doc_id for r in mixing.sharded(docs).select("doc_id").collect())
+    rows = query(spark, sf_dir).collect()
+    assert len(rows) == docs.count() and 0 < some.total() < dealt.total()
+    assert all(r.taken == some[r.doc_id] * r.size for r in rows)
+
+
 def test_tree_is_hypergeometric(spark):
     blocks = spark.createDataFrame([(s, b, d) for s in ("a", "b") for b in range(40) for d in [1 + (b % 2)]], "source string, block int, draws int")
     rows = mixing.split(blocks, 4).collect()
