@@ -5,10 +5,14 @@ surrogate is a keyed permutation of the entity's own characters: its letters and
 digits are split in two halves and each half is shifted, character by character
 and each within its own alphabet (digits, lower or upper case of one script),
 by a stream drawn from the key and the other half, three times.  Every step can
-be undone, so
-
-* different entities of a kind never share a surrogate (distinctness holds by
-  construction, for any number of entities, without a table of them),
+be undone.  Where a part of the strings is mapped otherwise (listed given names,
+words with an ending that stays, secrets of hexadecimal digits), the others walk
+on until they are outside of that part: the permutation they walk along is made
+of cycles of at most ``CYCLE`` (a shift of one character between a permutation
+and its inverse), so that every walk ends and no string is its own next.  So
+
+* different entities of a kind, as they are written, never share a surrogate
+  (distinctness holds for any number of entities, without a table of them),
 * the same entity has the same surrogate in every document, in any letter case
   and with any separators (coreference),
 * length, separators, case and script stay (format).
@@ -18,6 +22,7 @@ valid, given names are exchanged within their list (same gender and script),
 family names keep vowels, consonants and endings that mark gender.  Because
 nothing is looked up, the operator is one pass without a shuffle.
 ``collisions`` counts what the construction excludes, over a whole table.
+Letters outside of ``ALPHABETS`` stay.
 """
 
 from __future__ import annotations
@@ -48,6 +53,9 @@ NAME_ALPHABETS = (
     "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "АЕИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ", *ALPHABETS[7:9],
 )
 
+#: The longest alphabet: so many steps bring a walk back to where it began.
+CYCLE = max(map(len, ALPHABETS))
+
 # Given names by gender and script, in no particular order.
 GIVEN = {
     "female": "Anna Maria Elena Laura Julia Sophie Emma Sarah Claire Alice Marie Camille Lucia Carmen Isabel Marta Katharina Ursula Sabine Emily Olivia Jessica Jennifer Elizabeth Margaret Susan Linda Patricia Barbara Catherine".split(),
@@ -114,8 +122,8 @@ def _turned(char: str, by: str, alphabets) -> str:
 def _shifted(half: str, other: str, salt: str, turned) -> str:
     """SQL for a string shifted character by character under a stream drawn from the other half; salt: SQL."""
     byte = "cast(conv(substr(ks, cast(pmod(ci, 64) as int) * 2 + 1, 2), 16, 10) as int)"
-    chars = f"transform(sequence(1, length(hh)), ci -> {turned('substr(hh, ci, 1)', byte)})"
-    return _let("hh", half, f"case when hh = '' then '' else {_let('ks', f'sha2(concat({salt}, lower({other})), 512)', f'array_join({chars}, {_q("")})')} end")
+    chars = f"transform(sequence(1, length({half})), ci -> {turned(f'substr({half}, ci, 1)', byte)})"
+    return f"case when {half} = '' then '' else {_let('ks', f'sha2(concat({salt}, lower({other})), 512)', f'array_join({chars}, {_q("")})')} end"
 
 
 def permuted(value: str, salt: str, turned) -> str:
@@ -126,6 +134,31 @@ def permuted(value: str, salt: str, turned) -> str:
         f"concat({_shifted('p1', 'p2', s[2], turned)}, p2)")))))
 
 
+def unpermuted(value: str, salt: str, turned) -> str:
+    """SQL that undoes ``permuted``."""
+    s = [f"concat({salt}, '{i}:')" for i in range(3)]
+
+    def back(char: str, by: str) -> str:
+        return turned(char, f"-{by}")
+
+    return _let("pv", value, _let("pl", "substr(pv, 1, length(pv) div 2)", _let("pr", "substr(pv, length(pv) div 2 + 1)",
+        _let("p1", _shifted("pl", "pr", s[2], back), _let("p2", _shifted("pr", "p1", s[1], back),
+        f"concat({_shifted('p1', 'p2', s[0], back)}, p2)")))))
+
+
+def _next(value: str, salt: str, turned, alphabets) -> str:
+    """SQL for the next string of a keyed permutation by shape whose cycles are as long as one alphabet: none stays itself."""
+    known = "".join(alphabets)
+    one = f"if(at > length(mv), mv, concat(substr(mv, 1, at - 1), {turned('substr(mv, at, 1)', '1')}, substr(mv, at + 1)))"
+    moved = _let("mv", permuted(_plain("nx"), salt, turned), _let("at", f"length(regexp_extract(mv, '^[^{known}]*', 0)) + 1", one))
+    return _let("nx", value, _filled("nx", unpermuted(moved, salt, turned)))
+
+
+def _walked(value: str, step, free) -> str:
+    """SQL for the first string after ``value`` along ``step`` that is ``free``, as ``value`` is."""
+    return f"aggregate(sequence(1, {CYCLE}), {value}, (wk, ws) -> if(ws > 1 and {free('wk')}, wk, {step('wk')}))"
+
+
 def _filled(form: str, letters: str, chars: str = r"[\\p{L}\\p{N}]") -> str:
     """SQL that puts the characters of ``letters`` where ``form`` has letters and digits."""
     step = f"if(ch rlike '{chars}', struct(concat(ac.o, substr(fl, ac.n, 1)) as o, ac.n + 1 as n), struct(concat(ac.o, ch) as o, ac.n as n))"
@@ -175,7 +208,16 @@ def _name(value: str, key: str) -> str:
         after = order[1:] + order[:1]  # one cycle: no name stays itself
         cases.append(f"when array_contains({_list(order)}, nw) then element_at({_list(after)}, cast(array_position({_list(order)}, nw) as int))")
     ends = "|".join(ENDINGS)
-    family = _let("en", rf"regexp_extract(nw, '^.{{2,}}?({ends})$', 1)", f"concat({_by_shape('substr(nw, 1, length(nw) - length(en))', _q(f'{key}:name:'), _name_char)}, en)")
+    listed = _list(TITLES + [n for names in GIVEN.values() for n in names])
+
+    def ending(word: str) -> str:
+        return rf"regexp_extract({word}, '^.{{2,}}?({ends})$', 1)"
+
+    def step(word: str) -> str:
+        return f"concat({_next(f'substr({word}, 1, length({word}) - length(en))', _q(f'{key}:name:'), _name_char, NAME_ALPHABETS)}, en)"
+
+    # No ending ends with another one, so a stem may become any stem.
+    family = _let("en", ending("nw"), _walked("nw", step, lambda w: f"({ending(w)} = en and not array_contains({listed}, {w}))"))
     return f"array_join(transform(split({value}, ' '), nw -> case {' '.join(cases)} else {family} end), ' ')"
 
 
@@ -202,7 +244,11 @@ def surrogate(value: str, key: str = KEY) -> str:
     mode = "case when kd = 'ipv6' or kd in ('hex', 'assigned') and rw rlike '^[0-9a-f]+$' then 'h' when kd in ('hex', 'assigned') and rw rlike '^[0-9A-F]+$' then 'H' else '' end"
     new, old = "regexp_replace(nr, '[^0-9]', '')", "regexp_replace(rw, '[^0-9]', '')"
     last = f"case when kd = 'card' then cast(pmod({_check_digit(new)} + cast(substr(ev, -1) as int) - {_check_digit(old)} + 10, 10) as string) when kd = 'email' then regexp_extract(ev, '[.][A-Za-z]+$', 0) else '' end"
-    shaped = _let("hw", head, _let("rw", rest, _let("hm", mode, _let("nr", _by_shape("rw", f"concat({_q(key + ':')}, kd, ':')", _any_char), f"concat(hw, nr, {last})"))))
+    salt = f"concat({_q(key + ':')}, kd, ':')"
+    # Secrets of hexadecimal digits stay such; the others must not become such.
+    other = _walked("rw", lambda w: _next(w, salt, _any_char, ALPHABETS), lambda w: f"(not {w} rlike '^([0-9a-f]+|[0-9A-F]+)$')")
+    made = f"case when kd = 'assigned' and hm = '' then {other} else {_by_shape('rw', salt, _any_char)} end"
+    shaped = _let("hw", head, _let("rw", rest, _let("hm", mode, _let("nr", made, f"concat(hw, nr, {last})"))))
     return _let("ev", value, _let("kd", kind_of("ev"), f"case kd when 'ipv4' then {_ipv4('ev', key)} when 'name' then {_name('ev', key)} else {shaped} end"))
 
 

@@ -298,6 +298,19 @@ def test_surrogates_are_distinct(spark):
     assert a != b
 
 
+def test_surrogates_of_names_and_secrets_are_distinct(spark):
+    vowels, others = "aeiou", "bcdfghjklmnpqrstvwxyz"
+    words = {a.upper() + b + c + d for a in others for b in vowels for c in vowels for d in others} | {n for names in pii.GIVEN.values() for n in names}
+    words |= {"Caska", "Cudje", "Ceski", "Dofco", "John", "Qiyy", "Li", "Ng", "Иванова", "Иванов", "Šimek"}  # lists, endings, short ones
+    secrets = {f"{i:05d}g" for i in range(300)} | {f"{i:05d}a" for i in range(300)}
+    rows = [(0, f"Mr {w}") for w in words] + [(0, f"token={x}") for x in secrets]
+    found = pii.entities(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    made = {r.entity: r.surrogate for r in found}
+    assert len(made) == len(set(made.values())) == len(words) + len(secrets) and not any(a == b for a, b in made.items())
+    assert all(bool(re.fullmatch("token=[0-9a-f]+", b)) == (a[-1] == "a") for a, b in made.items() if a.startswith("token"))
+    assert made["Mr Иванова"].endswith("ова") and all(len(a) == len(b) for a, b in made.items() if a[3:] not in pii._ANY_GIVEN.split("|"))
+
+
 # ---- 8: mixing ----
 def brute_targets(sizes, cap=3.0):
     weights = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
