@@ -49,12 +49,20 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - frozenset("html head body option optgroup caption td th tr tbody thead tfoot legend summary".split())
 SKIPPED = frozenset("head script style textarea title noscript template iframe noframes xmp nav footer aside form menu dialog button select svg math object canvas audio video option datalist fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
-#: Parts of class and id values that mark what is not article text.
+_KNOWN = r"(?:(?:site|main|primary|secondary|top|bottom|left|right|side|global|mobile|sticky|page|post|entry|article|blog|user|reader|footer|header|banner|google|wp)[-_])?"
+_REST = r"(?:[-_](?!(?:open|opened|closed|on|off|enabled|disabled|active|free)(?:\s|$))[^\s]*)?(?:\s|$)"
+#: Whole class and id values, alone or with a known word before or any after, that mark what is not article text;
+#: what they say of a block's state (comments-open) marks nothing.
 NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscri\w*|signup|login"
-    r"|comment|comments|commentlist|disqus|respond|replies|nav|navbar|navigation|menu|menus|breadcrumb\w*|sidebar\w*|side-bar|widget\w*|footer|header|masthead|topbar"
-    r"|social|share|sharing|related|recommend\w*|pagination|pager|toolbar|skip-link)(?:$|[-_\s])"
+    rf"(?:^|\s){_KNOWN}(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscri\w*|signup|login"
+    r"|nav|navbar|navigation|menu|menus|breadcrumb\w*|sidebar\w*|side-bar|widget\w*|footer|topbar|social|share|sharing|pagination|pager|toolbar|skip-link)" + _REST
 )
+#: The same outside of an article only: in it, these hold its title.
+HEADS = re.compile(rf"(?:^|\s)(?!(?:page|post|entry|article|blog)[-_]){_KNOWN}(?:header|masthead){_REST}")
+#: The same for texts by others, which may be longer than the article.
+OTHERS = re.compile(rf"(?:^|\s){_KNOWN}(?:comment|comments|commentlist|disqus|respond|replies|related|recommend\w*){_REST}")
+#: Elements that hold the prose of a page.
+PROSE = frozenset("p pre blockquote article main".split())
 ARTICLE = frozenset(["article", "main"])
 
 _TOKEN = re.compile(
@@ -151,10 +159,42 @@ def skipped(node: Node, inside: bool) -> bool:
         return False
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or "comment" in a.get("itemprop", "").lower():
         return True
-    if not a or node.tag in ("html", "body", "article", "main"):
+    return False
+
+
+def named(node: Node) -> str:
+    """Class and id values in lower case."""
+    return f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().strip() if node.attrs else ""
+
+
+def prose(node: Node, memo: dict) -> tuple[int, int, int, int]:
+    """Characters of prose and of all text outside of links, articles and mains in a node, without what ``skipped`` drops."""
+    if id(node) not in memo:
+        out = [0, 0, 0, 0]
+        for k in node.kids:
+            if isinstance(k, str):
+                out[1] += len(k.strip())
+            elif k.tag != "a" and not skipped(k, False):
+                p, t, n, m = prose(k, memo)
+                out = [out[0] + (t if k.tag in PROSE else p), out[1] + t, out[2] + n + (k.tag == "article"), out[3] + m + (k.tag == "main")]
+        memo[id(node)] = tuple(out)
+    return memo[id(node)]
+
+
+def noisy(node: Node, inside: bool, root: Node, memo: dict) -> bool:
+    """Whether class or id say that a node is no article text, and it does not hold the page's main or most of its prose."""
+    if node.tag in ("html", "body", "article", "main") or not (names := named(node)):
+        return False
+    others = bool(OTHERS.search(names))
+    if not (others or NOISE.search(names) or (not inside and HEADS.search(names))):
+        return False
+    p, t, articles, mains = prose(node, memo)
+    if mains:
         return False
-    named = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    return named != " " and bool(NOISE.search(named))
+    if p and (articles == 1 or not others):
+        whole = prose(root, memo)
+        return not (2 * p > whole[0] and 2 * t > whole[1])
+    return True
 
 
 # ---- shapes and simple tree matching ------------------------------------------------
@@ -308,7 +348,7 @@ def hash64(text: str) -> int:
 
 def extract(html: str | None, wrapper=None, template: frozenset = frozenset()) -> str:
     """Article text: blocks in page order, white space folded, joined by one space."""
-    root = parse(html)
+    root, memo = parse(html), {}
     path_of = {id(n): p for p, n in slots(root, wrapper)} if wrapper is not None and template else {}
     marked = _has(root, ARTICLE)
     blocks: list[str] = []
@@ -341,7 +381,7 @@ def extract(html: str | None, wrapper=None, template: frozenset = frozenset()) -
                     buffer.append(unescape(k))  # each text alone: a reference never goes on in the next element
             elif k.tag in VOID:
                 buffer.append(" ") if k.tag in ("br", "hr") else None
-            elif not skipped(k, inside):
+            elif not skipped(k, inside) and not noisy(k, inside, root, memo):
                 within = inside or k.tag in ARTICLE
                 if not within and k.tag in ("ul", "ol", "div", "table") and not marked:
                     total, linked = links(k)

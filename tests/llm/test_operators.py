@@ -389,6 +389,18 @@ def test_references_end_with_their_element():
     assert html.extract("<article><p>a &am<b>p;</b> b &amp;<i>lt;</i> &lt;c&gt;&nbsp;&#233;</p></article>") == "a &amp; b &lt; <c> \u00e9"
 
 
+def test_wrappers_are_no_noise():
+    text = "<p>One long sentence of the story.</p><p>Another one of it.</p>"
+    for name in ("content-sidebar-wrap", "page has-sidebar", "no-sidebar", "with-menu", "comments-open", "share-enabled", "sidebar", "menu-wrap"):
+        for page in (f"<main>{text}</main>", f"<article>{text}</article>", f"<div class=entry>{text}</div>"):
+            assert html.extract(f"<body><div class='{name}'>{page}</div><div class=footer>(c) us</div></body>") == "One long sentence of the story. Another one of it.", (name, page)
+    assert html.extract(f"<article><div class='entry-header'><h1>Title</h1></div><div class=header>By me.</div>{text}</article>").startswith("Title By me. One")
+    noise = ("sidebar", "main-menu", "ad", "ad-slot", "comments", "comment-list", "share-buttons", "site-footer", "cookie-notice", "site-header", "related-posts", "post-navigation")
+    for name in noise:
+        assert html.extract(f"<body><div class='{name}'><p>No text.</p></div><div class=entry>{text}</div></body>").startswith("One"), name
+    assert html.extract(f"<div class=entry>{text}</div><div id=comments>{'<p>A much longer comment of a reader.</p>' * 9}</div>").endswith("one of it.")
+
+
 def test_tree_matching():
     a, b = ("x", (("p", ()), ("q", (("r", ()),)), ("s", ()))), ("x", (("q", (("t", ()),)), ("s", ()), ("u", ())))
     assert html.aligned(a, b) == [(0, None), (1, 0), (2, 1), (None, 2)]
