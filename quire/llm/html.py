@@ -61,6 +61,9 @@ NOISE = re.compile(
 HEADS = re.compile(rf"(?:^|\s)(?!(?:page|post|entry|article|blog)[-_]){_KNOWN}(?:header|masthead){_REST}")
 #: The same for texts by others, which may be longer than the article.
 OTHERS = re.compile(rf"(?:^|\s){_KNOWN}(?:comment|comments|commentlist|disqus|respond|replies|related|recommend\w*){_REST}")
+#: Articles that are a reader's comment, and those that point to another page.
+COMMENT = re.compile(r"(?:^|\s)(?:(?:node|post|user|reader|entry|article|blog|wp)[-_])?(?:comment|reply)" + _REST)
+TEASER = re.compile(r"(?:^|\s)(?:(?:node|post|entry|article|blog|item)[-_])?(?:teaser|related|recommend\w*|promo\w*|sponsor\w*|advert\w*)" + _REST)
 #: Elements that hold the prose of a page.
 PROSE = frozenset("p pre blockquote article main".split())
 ARTICLE = frozenset(["article", "main"])
@@ -197,6 +200,21 @@ def noisy(node: Node, inside: bool, root: Node, memo: dict) -> bool:
     return True
 
 
+def commented(node: Node) -> bool:
+    """Whether an article is a reader's comment."""
+    return node.tag == "article" and bool(COMMENT.search(named(node)))
+
+
+def marks(node: Node, root: Node, memo: dict) -> bool:
+    """Whether a page marks its article: an article or main below a node that is not left out, and no comment or teaser."""
+    for k in node.kids:
+        if isinstance(k, str) or skipped(k, False) or noisy(k, False, root, memo) or commented(k):
+            continue
+        if k.tag == "main" or k.tag == "article" and not TEASER.search(named(k)) or marks(k, root, memo):
+            return True
+    return False
+
+
 # ---- shapes and simple tree matching ------------------------------------------------
 
 #: A shape is (label, kids): kids are shapes of block nodes, runs of equal labels merged.
@@ -350,7 +368,7 @@ def extract(html: str | None, wrapper=None, template: frozenset = frozenset()) -
     """Article text: blocks in page order, white space folded, joined by one space."""
     root, memo = parse(html), {}
     path_of = {id(n): p for p, n in slots(root, wrapper)} if wrapper is not None and template else {}
-    marked = _has(root, ARTICLE)
+    marked = marks(root, root, memo)
     blocks: list[str] = []
     buffer: list[str] = []
 
@@ -381,7 +399,7 @@ def extract(html: str | None, wrapper=None, template: frozenset = frozenset()) -
                     buffer.append(unescape(k))  # each text alone: a reference never goes on in the next element
             elif k.tag in VOID:
                 buffer.append(" ") if k.tag in ("br", "hr") else None
-            elif not skipped(k, inside) and not noisy(k, inside, root, memo):
+            elif not skipped(k, inside) and not noisy(k, inside, root, memo) and (inside or comments or not commented(k)):
                 within = inside or k.tag in ARTICLE
                 if not within and k.tag in ("ul", "ol", "div", "table") and not marked:
                     total, linked = links(k)
@@ -391,8 +409,13 @@ def extract(html: str | None, wrapper=None, template: frozenset = frozenset()) -
         if block:
             flush()
 
+    comments = False
     walk(root, False)
     flush()
+    if not blocks:  # a page of nothing but such articles: they are its text
+        comments = True
+        walk(root, False)
+        flush()
     return " ".join(blocks)
 
 

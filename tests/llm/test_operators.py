@@ -401,6 +401,17 @@ def test_wrappers_are_no_noise():
     assert html.extract(f"<div class=entry>{text}</div><div id=comments>{'<p>A much longer comment of a reader.</p>' * 9}</div>").endswith("one of it.")
 
 
+def test_only_the_page_s_own_article_marks_it():
+    story = "<div class=entry><p>One long sentence of the story.</p><p>Another one of it.</p></div>"
+    text, aside = "One long sentence of the story. Another one of it.", "<article class='comment-body'><p>Nice.</p></article>"
+    for others in (f"<div id=comments>{aside}</div>", f"<section>{aside}{aside}</section>", "<aside><article><p>Read on.</p></article></aside>", "<div class=related><article><h2>More</h2></article></div>", "<footer><main>x</main></footer>"):
+        assert html.extract(f"<body>{story}{others}</body>") == text, others
+    assert text in html.extract(f"<body>{story}<section><article class='post-teaser'><p>Read on.</p></article></section></body>")
+    assert html.extract(f"<body><p>Top.</p><article class='post comments-open'>{story}</article></body>") == text
+    assert html.extract(f"<body>{aside}{aside}</body>") == "Nice. Nice."  # a thread
+    assert html.extract(f"<body><p>Top.</p><main>{aside}</main></body>") == "Nice."
+
+
 def test_tree_matching():
     a, b = ("x", (("p", ()), ("q", (("r", ()),)), ("s", ()))), ("x", (("q", (("t", ()),)), ("s", ()), ("u", ())))
     assert html.aligned(a, b) == [(0, None), (1, 0), (2, 1), (None, 2)]
