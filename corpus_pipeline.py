@@ -3,8 +3,8 @@
 All stages but the last return the columns of their input, whatever their names.
 Null and empty texts are rejected by the first stage; a stage that is given them
 keeps them (near-dedup: as one group, as they share fingerprint zero).  Rows that
-repeat a doc_id are one document for near-dedup, which keeps one of them.  Empty
-tables go through all stages.
+repeat a doc_id, or have none, are judged each by its own text.  Empty tables go
+through all stages.
 """
 
 from __future__ import annotations

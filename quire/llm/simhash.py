@@ -177,18 +177,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) without all but one document of each near-duplicate group.
+    """The rows of ``docs`` (doc_id, text, ...) without all but one row of each near-duplicate group.
 
-    The document with the least doc_id stays; of several rows with that id one
-    stays.  Columns are those of ``docs``.
+    A row with the least doc_id of the group stays (null: only where all are
+    null); of several such rows one with the least hash of its text, and of rows
+    that repeat id and text one.  Rows of one id, or without id, that are in
+    different groups are judged each in its own.  Columns are those of ``docs``.
     """
-    found = near_duplicates(docs).groupBy("doc_id").agg(
+    h, size = F.xxhash64("text"), F.length("text")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), h.alias("h"), size.alias("n"))
+    found = near_duplicates(docs.select(key.alias("key"), "text"), doc_id="key").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first")
     )
     found = cut(found.where("n > 1 or not first"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"))
-    gone = found.where("not first").select("doc_id")
-    rows = rows.join(gone, rows["__id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), h.alias("__h"), size.alias("__n"))
+    gone = found.where("not first").select("doc_id.id", "doc_id.h", "doc_id.n")
+    same = rows["__id"].eqNullSafe(gone["id"]) & (rows["__h"] == gone["h"]) & rows["__n"].eqNullSafe(gone["n"])
+    rows = rows.join(gone, same, "left_anti")
     if not found.where("first and n > 1").isEmpty():
-        rows = rows.dropDuplicates(["__id"])
+        rows = rows.dropDuplicates(["__id", "__h", "__n"])
     return rows.select("__row.*")

@@ -81,6 +81,14 @@ def test_stages(spark, tmp_path):
     assert table(spark, str(tmp_path), "benchmark").count() == 6
 
 
+def test_near_duplicates_go_by_row(spark):
+    x, y, z = ("the first text of some words", "quite another text about fish", "a third one without any id")
+    rows = [(1, x), (5, x), (5, y), (None, z), (None, "and a fourth one, neither near"), (None, x), (7, "same id and text twice"), (7, "same id and text twice")]
+    for n in (1, 3):
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n)).collect()
+        assert sorted(map(tuple, kept), key=str) == sorted([rows[i] for i in (0, 2, 3, 4, 6)], key=str)
+
+
 def test_pages_and_chats(spark):
     rows = [(1, "http://a.example/x", "<p>hi &amp; ho<p>two"), (1, "http://a.example/x", "<p>hi &amp; ho<p>two"), (None, None, None), (2, "not a url", ""), (3, "http://a.example/y", "<div>" * 3000 + "deep" + "</div>" * 3), (4, "x", "<" * 2000)]
     for some in (rows, []):
