@@ -283,14 +283,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) whose text has no window of any item; columns as they are.
 
-    With one block of the benchmark rows are filtered where they lie, without a shuffle.
+    Every row is judged by its own text, also where rows share an id or have none.  With one block of the benchmark rows are
+    filtered where they lie, without a shuffle.
     """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total > block_bytes:
-        found = contamination(docs, benchmark, block_bytes).where("size(spans) > 0").select("doc_id").distinct()
-        rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"))
-        return rows.join(found, rows["__id"].eqNullSafe(found["doc_id"]), "left_anti").select("__row.*")
+        key = F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+        found = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, block_bytes).where("size(spans) > 0").select("doc_id.*").distinct()
+        rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), F.length("text").alias("__n"))
+        same = rows["__id"].eqNullSafe(found["doc_id"]) & (rows["__h"] == found["h"]) & (rows["__n"] == found["n"])
+        return rows.join(found, same, "left_anti").select("__row.*")
     sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
     place = docs.columns.index("text")
 

@@ -162,6 +162,16 @@ def test_blocks_of_the_benchmark_agree(spark, sf_dir):
     assert kept == {r[0] for r in rows(decontam.contamination(docs, bench)) if not r[2]}
 
 
+def test_blocks_of_the_benchmark_drop_the_same_rows(spark):
+    items = [(f"b{k}", " ".join(f"w{k}x{i}" for i in range(12))) for k in range(4)]
+    rows = [(1, items[0][1]), (1, "clean of the same id"), (None, items[3][1]), (None, "clean without id"), (None, None), (2, None), (3, "so " + items[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for size in (decontam.BLOCK_BYTES, 100):
+        kept = decontam.drop_contaminated(docs, bench, block_bytes=size).collect()
+        assert sorted(map(tuple, kept), key=str) == sorted((rows[i] for i in (1, 3, 4, 5)), key=str)
+
+
 # ---- 5: WARC ----
 def test_warc_links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").limit(10)
