@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, shared_folder, stored
 
-__all__ = ["cut", "table", "words_sql"]
+__all__ = ["cut", "shared_folder", "stored", "table", "words_sql"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

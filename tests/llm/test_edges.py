@@ -90,7 +90,7 @@ def test_near_duplicates_go_by_row(spark):
 
 
 def test_pages_and_chats(spark):
-    rows = [(1, "http://a.example/x", "<p>hi &amp; ho<p>two"), (1, "http://a.example/x", "<p>hi &amp; ho<p>two"), (None, None, None), (2, "not a url", ""), (3, "http://a.example/y", "<div>" * 3000 + "deep" + "</div>" * 3), (4, "x", "<" * 2000)]
+    rows = [(1, "http://a.example/x", "<p>hi &amp; ho<p>two"), (1, "http://a.example/x", "<p>hi &amp; ho<p>two"), (None, None, None), (2, "not a url", ""), (3, "http://a.example/y", "<div>" * 3000 + "deep" + "</div>" * 3), (4, "x", "<" * 2000), (5, "http://a.example/z", "<p>\ud83d lone &#xD800; &#0; &notit; &#x110000;</p>".encode("utf-8", "replace").decode())]
     for some in (rows, []):
         pages = spark.createDataFrame(some, "page_id bigint, url string, html string")
         assert html.main_text(pages).count() == len(some)

@@ -6,6 +6,7 @@ import html as stdhtml
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -422,20 +423,100 @@ def test_only_the_page_s_own_article_marks_it():
     assert html.extract(f"<body><p>Top.</p><main>{aside}</main></body>") == "Nice."
 
 
+def brute_match(a, b):
+    """Size of the largest mapping by its definition: every way to pair kids in order."""
+    if a.label != b.label:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        pair = brute_match(x[0], y[0])
+        return max(best(x[1:], y), best(x, y[1:]), pair + best(x[1:], y[1:]) if pair else 0)
+
+    return 1 + best(a.kids, b.kids)
+
+
 def test_tree_matching():
-    a, b = ("x", (("p", ()), ("q", (("r", ()),)), ("s", ()))), ("x", (("q", (("t", ()),)), ("s", ()), ("u", ())))
-    assert html.aligned(a, b) == [(0, None), (1, 0), (2, 1), (None, 2)]
-    assert html.merged(a, b) == ("x", (("p", ()), ("q", (("r", ()), ("t", ()))), ("s", ()), ("u", ()))) or html.merged(a, b)[1][1][0] == "q"
-    assert html._load(html._dump(a)) == a
+    a, b = html.load("x(p()q(r())s())"), html.load("x(q(t())s()u())")
+    assert html.aligned(a, b) == [(1, 0), (2, 1)] and html.match(a, b) == 3
+    assert html.dump(html.merged(a, b)) == "x(p()q(r()t())s()u())" and html.load(html.dump(a)) is a
+    rnd = random.Random(3)
+
+    def some(depth):
+        kids = [some(depth - 1) for _ in range(rnd.randrange(4))] if depth else []
+        return html.shape(rnd.choice("abc"), kids)
+
+    for _ in range(300):
+        a, b = html.shape("r", [some(2) for _ in range(3)]), html.shape("r", [some(2) for _ in range(4)])
+        assert html.match(a, b) == brute_match(a, b)
+        pairs = html.aligned(a, b)
+        assert all(x < u and y < v for (x, y), (u, v) in zip(pairs, pairs[1:])) and all(a.kids[x].label == b.kids[y].label for x, y in pairs)
+
+
+def test_repeated_siblings_are_one_node_at_any_length():
+    forms = set()
+    for n in (4, 40, 2000):
+        page = "<article>" + "".join(f"<h3>Question {i}</h3><p>Answer {i}</p>" for i in range(n)) + "</article>"
+        began = time.perf_counter()
+        found = html.read(page)
+        assert time.perf_counter() - began < 1 and len(found["texts"]) == 2 * n
+        forms.add(found["shape"])
+    assert forms == {"#page(article(h3()p()h3()p()h3()p()))"}
+
+
+def test_pages_of_any_shape():
+    deep = "<div>" * 50_000 + "x" + "</p>" * 50_000
+    assert html.extract(deep) == "x" and html.extract("<u><div>" + "<b>" * 50_000 + "x" + "</u>" * 50_000) == "x"
+    form = "<body><form><div class=menu><a href=x>m</a></div><p>The whole page is one form, as some servers make them.</p><input></form></body>"
+    assert html.extract(form) == "The whole page is one form, as some servers make them."
+    assert html.extract("<body><p>A text of the page itself.</p><form><label>Name</label><p>Go</p></form></body>") == "A text of the page itself."
+    assert html.extract("<article><header class='entry-header'><h1>Title</h1></header><p>a <math><mi>x</mi></math></p></article>") == "Title a x"
+
+
+def _texts(spark, rows, kind="bigint"):
+    made = html.main_text(spark.createDataFrame(rows, f"page_id {kind}, url string, html string"))
+    return {r.page_id: r.text for r in made.collect()}
 
 
 def test_template_nodes_go_and_slots_stay(spark):
     rows = [(i, f"https://H.example:80/{i}", f"<body><div class=top>Welcome to us</div><div class=story><p>Story {i} tells</p><p>More {i}</p></div><div class='comments'>bad</div></body>") for i in range(5)]
     rows += [(9, "http://other.example/", "<body><div class=top>Welcome to us</div><p>one page only</p></body>")]
-    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    got = _texts(spark, rows)
     assert got[3] == "Story 3 tells More 3" and got[9] == "Welcome to us one page only"
 
 
+def test_template_needs_three_different_pages(spark):
+    def page(i):
+        return f"<body><div class=top>Welcome</div><p>Story {i}</p></body>"
+
+    for n, left in ((2, "Welcome Story 0"), (3, "Story 0")):
+        rows = [(f"p{i}", "http://a.example/", page(i % n)) for i in range(9)]
+        assert _texts(spark, rows, "string")["p0"] == left
+    same = [(i, "http://a.example/", f"<!-- {i} --><body><div>Only</div><p>constants</p></body>") for i in range(4)]
+    assert set(_texts(spark, same).values()) == {"Only constants"}
+
+
+def test_marked_articles_lose_nothing_but_whole_regions(spark):
+    rows = [(i, "http://a.example/", f"<body><p>top {i}</p><article><h2>Summary</h2><p>Story {i}</p></article><main class=note>Read our rules</main></body>") for i in range(5)]
+    assert _texts(spark, rows)[4] == "Summary Story 4"
+
+
+def test_joined_and_sent_wrappers_agree(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(120):
+        parts = "".join(rnd.choice(("<h2>Head</h2>", f"<p>text {i} {rnd.random()}</p>", "<ul><li>one<li>two</ul>", f"<div class='c{rnd.randrange(3)}'>Fixed</div>")) for _ in range(rnd.randrange(12)))
+        rows.append((i, f"http://h{i % 3}.example/", f"<body><div id=x{i}>Top</div>{parts}<hr><p>(c) us</p></body>"))
+    rows += [(None, None, None)]
+    sent = _texts(spark, rows)
+    assert not [t for t in sent.values() if "text" in t and ("(c) us" in t or "Top" in t)]  # pages of nothing but constants keep them
+    monkeypatch.setattr(html, "BROADCAST_BYTES", -1)
+    assert _texts(spark, rows) == sent
+    monkeypatch.setattr(html, "FAN", 4)  # more rounds of merging
+    assert set(_texts(spark, rows)) == set(sent)
+
+
 # ---- 10: quality ----
 def brute_signals(t):
     t = t or ""
