@@ -4,20 +4,25 @@ Texts are read as bytes in vectorised chunks: word bounds, word hashes and
 hashes of ``K`` consecutive words (k-grams) for a whole chunk at once.  Of every
 ``WINDOW - K + 1`` consecutive k-grams the least hash is kept, on both sides, so
 any shared span of ``WINDOW`` words shares a kept fingerprint.  Fingerprints of
-the documents are joined to the sorted fingerprints of the benchmark, hits are
-extended to the longest equal run and compared word by word, and a run of
-``WINDOW`` or more words marks its words.  Items shorter than a window have no
+the documents are joined to the sorted fingerprints of the benchmark; a hit is
+extended to the windows of ``WINDOW`` words that hold it, as far as they are
+windows of an item too, and these are compared word by word with one place where
+the benchmark has them.  So work follows the words of a text and its hits, also
+where texts and items repeat themselves.  Items shorter than a window have no
 such guarantee and are looked up whole, by all runs of their length.
 
-The benchmark is broadcast only in blocks whose total text is bounded by
-``BLOCK_BYTES``; with more than one block the documents are read once per block
-and the hits are merged by document.  No document row is shuffled with one block.
+The benchmark is sent in blocks of at most ``BLOCK_BYTES`` of text (an item
+longer than that is a block), one after the other; with more than one block the
+documents are read once per block and the hits are merged by document.  No
+document row is shuffled with one block.  An index is built once per Python
+worker and block.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,14 +107,24 @@ def kept(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(on & (hashes != NONE))
 
 
+def gram_at(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of ``grams`` at some places."""
+    out, power = np.zeros(len(at), np.uint64), 1
+    for i in range(k):
+        power = power * 0xD6E8FEB86659FD93 % 2**64
+        out += words[at + i] * np.uint64(power)
+    return np.minimum(_mixed(out), NONE - np.uint64(1))
+
+
 class Index:
-    """Fingerprints of a block of benchmark items: list of (item id as a string, text)."""
+    """Fingerprints and windows of a block of benchmark items: list of (item id as a string, text)."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW, k: int = K, chunk: int = CHUNK):
         self.window, self.k, self.chunk = window, k, chunk
         self.hasher = Hasher(chunk)
-        self.ids, self.hashes, self.words = [], [], []
-        long, short = defaultdict(list), defaultdict(lambda: defaultdict(set))
+        self.ids, self.texts_of = [], []
+        short = defaultdict(lambda: defaultdict(set))
+        keys, windows, owners, firsts = ([np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64))
         for item, text in items:
             data = (text or "").encode().lower()
             starts, ends, h = self.hasher.words(data)
@@ -118,13 +133,20 @@ class Index:
             if len(h) < window:
                 short[len(h)][int(grams(h, len(h))[0])].add(item)
                 continue
-            for at in kept(grams(h, k), window - k + 1):
-                long[int(grams(h[at : at + k], k)[0])].append((len(self.ids), int(at)))
+            g = grams(h, k)
+            keys.append(np.unique(g[kept(g, window - k + 1)]))
+            own, first = np.unique(grams(h, window), return_index=True)
+            windows.append(own)
+            owners.append(np.full(len(own), len(self.ids)))
+            firsts.append(first)
             self.ids.append(item)
-            self.hashes.append(h)
-            self.words.append([data[s:e] for s, e in zip(starts, ends, strict=True)])
-        self.keys = np.array(sorted(long), np.uint64)
-        self.places = [long[int(x)] for x in self.keys]
+            self.texts_of.append((data, starts.astype(np.int32), ends.astype(np.int32)))
+        self.keys = np.unique(np.concatenate(keys))
+        windows, owners, firsts = (np.concatenate(x) for x in (windows, owners, firsts))
+        order = np.argsort(windows, kind="stable")
+        self.windows, self.bounds = np.unique(windows[order], return_index=True)
+        self.bounds = np.r_[self.bounds, len(order)]
+        self.owners, self.firsts = owners[order], firsts[order]  # of each window, from one bound to the next
         self.short = {n: (np.array(sorted(d), np.uint64), [sorted(d[x]) for x in sorted(d)]) for n, d in sorted(short.items())}
 
     @staticmethod
@@ -153,31 +175,28 @@ class Index:
         if len(self.keys):
             all_grams = grams(h, self.k, owner)
             at = kept(all_grams, self.window - self.k + 1)
-            where, which = self.found(self.keys, all_grams[at])
-            done: dict[tuple[int, int], int] = {}
-            for p, w in zip(at[where].tolist(), which.tolist(), strict=True):
-                o = int(owner[p])
-                for item, q in self.places[w]:
-                    if done.get((item, p - q), -1) > p:
-                        continue
-                    lo, hi = self.extend(data, starts, ends, h, owner, p, item, q)
-                    done[item, p - q] = hi
-                    if hi - lo >= self.window:
-                        hit[lo:hi] = True
-                        items[o].add(self.ids[item])
+            where, _ = self.found(self.keys, all_grams[at])
+            at, which = self.extended(data, starts, ends, h, owner, at[where])
+            for i in range(self.window):
+                hit[at + i] = True
+            for o, w in np.unique(np.stack([owner[at], which], axis=1), axis=0):
+                items[int(o)].update(self.ids[x] for x in self.owners[self.bounds[w] : self.bounds[w + 1]])
         return starts, owner, hit, items
 
-    def extend(self, data, starts, ends, h, owner, p, item, q):
-        """Longest run of equal words around word p of the chunk and word q of the item."""
-        mine, text = self.hashes[item], self.words[item]
-        first, last = p - q, p - q + len(mine)
-        lo, hi = max(first, int(np.searchsorted(owner, owner[p]))), min(last, int(np.searchsorted(owner, owner[p], "right")))
-        same = h[lo:hi] == mine[lo - first : hi - first]
-        before, after = np.flatnonzero(~same[: p - lo]), np.flatnonzero(~same[p - lo :])
-        a, b = (lo + before[-1] + 1) if len(before) else lo, (p + after[0]) if len(after) else hi
-        if [data[s:e] for s, e in zip(starts[a:b], ends[a:b], strict=True)] != text[a - first : b - first]:
-            return p, p + 1  # equal hashes of other words
-        return int(a), int(b)
+    def extended(self, data, starts, ends, h, owner, seeds):
+        """(starts of the windows around the k-grams at ``seeds`` that items have too, numbers of these windows)."""
+        at = np.unique((seeds[:, None] - np.arange(self.window - self.k + 1)).ravel())
+        at = at[(at >= 0) & (at + self.window <= len(h))]
+        at = at[owner[at] == owner[at + self.window - 1]]
+        where, which = self.found(self.windows, gram_at(h, at, self.window))
+        at, words, same = at[where], {}, np.ones(len(where), bool)
+        for i, (a, w) in enumerate(zip(at.tolist(), which.tolist(), strict=True)):
+            if w not in words:
+                raw, lo, hi = self.texts_of[self.owners[self.bounds[w]]]
+                first = self.firsts[self.bounds[w]]
+                words[w] = [raw[x:y] for x, y in zip(lo[first : first + self.window].tolist(), hi[first : first + self.window].tolist(), strict=True)]
+            same[i] = words[w] == [data[x:y] for x, y in zip(starts[a : a + self.window].tolist(), ends[a : a + self.window].tolist(), strict=True)]
+        return at[same], which[same]
 
     def texts(self, texts: list[str | None]):
         """For each text (number of words, hit of each word, items)."""
@@ -225,12 +244,19 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
 SPANS = "array<struct<lo:bigint,hi:bigint>>"
 
 
-def _scan(docs: DataFrame, block: list[tuple[str, str | None]]) -> DataFrame:
-    """(docs' first column, text, n_words, spans of hit words, items) under one block of the benchmark."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+def _index(sent) -> Index:
+    """The index of a block; the worker keeps what was sent, and so the index, from task to task."""
+    held = sent.value
+    if "index" not in held:
+        held["index"] = Index(held["items"])
+    return held["index"]
+
+
+def _scan(docs: DataFrame, sent) -> DataFrame:
+    """(docs' columns but the last, its text, n_words, spans of hit words, items) under one block of the benchmark."""
 
     def run(batches):
-        index = Index(sent.value)
+        index = _index(sent)
         for batch in batches:
             found = list(index.texts(batch.column(batch.num_columns - 1).to_pylist()))
             cols = [
@@ -245,6 +271,22 @@ def _scan(docs: DataFrame, block: list[tuple[str, str | None]]) -> DataFrame:
     return docs.mapInArrow(run, f"{kinds}, n_words bigint, spans {SPANS}, items array<string>")
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The benchmark's (item_id, text) in blocks of at most ``block_bytes``, or of one row."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    size, n = F.sum(F.octet_length("text")), 1
+    while True:
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")
+        most = items.groupBy(block.alias("block")).agg(size.alias("size"), F.countDistinct("item_id", "text").alias("rows")).where("rows > 1").agg(F.max("size")).first()[0] or 0
+        if most <= block_bytes:
+            return [items.where(block == i) if n > 1 else items for i in range(n)]
+        n *= max(2, -(-most // block_bytes))
+
+
+def _send(docs: DataFrame, block: DataFrame):
+    return docs.sparkSession.sparkContext.broadcast({"items": [tuple(r) for r in block.distinct().collect()]})
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items) of every row of ``docs`` (doc_id, text).
 
@@ -254,19 +296,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     once by id.  Repeated documents give repeated rows; empty tables work.
     Columns other than doc_id, text, item_id are not read.
     """
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    of = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items for i in range(n)]
+    blocks = _blocks(benchmark, block_bytes)
+    n = len(blocks)
     if n == 1:
-        return _scan(docs.select("doc_id", "text"), [tuple(r) for r in items.collect()])
+        return _scan(docs.select("doc_id", "text"), _send(docs, blocks[0]))
     # More than one block: hits are merged by a key of the document.
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), "text")
     parts = None
-    for block in of:
-        part = _scan(keyed, [tuple(r) for r in block.collect()])
+    for block in blocks:
+        sent = _send(docs, block)
+        part = cut(_scan(keyed, sent))
+        sent.destroy()  # the next block takes its place
         parts = part if parts is None else parts.union(part)
-    parts = cut(parts)
     per = parts.groupBy("doc_id", "h", "n").agg(F.count(F.lit(1)).alias("rows"), F.first("n_words").alias("n_words"))
     hits = parts.where("size(items) > 0").groupBy("doc_id", "h", "n").agg(
         F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
@@ -284,26 +325,24 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     """The rows of ``docs`` (doc_id, text, ...) whose text has no window of any item; columns as they are.
 
     Every row is judged by its own text, also where rows share an id or have none.  With one block of the benchmark rows are
-    filtered where they lie, without a shuffle.
+    filtered where they lie, without a shuffle, and only their texts go to Python.
     """
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > block_bytes:
+    blocks = _blocks(benchmark, block_bytes)
+    if len(blocks) > 1:
         key = F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
         found = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, block_bytes).where("size(spans) > 0").select("doc_id.*").distinct()
         rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), F.length("text").alias("__n"))
         same = rows["__id"].eqNullSafe(found["doc_id"]) & (rows["__h"] == found["h"]) & (rows["__n"] == found["n"])
         return rows.join(found, same, "left_anti").select("__row.*")
-    sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
-    place = docs.columns.index("text")
+    sent = _send(docs, blocks[0])
 
-    def run(batches):
-        index = Index(sent.value)
-        for batch in batches:
-            clean = [not hit.any() for _, hit, _ in index.texts(batch.column(place).to_pylist())]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = _index(sent)
+        for part in texts:
+            yield pa.array([not hit.any() for _, hit, _ in index.texts(part.to_pylist())], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean("text"))
 
 
 def items_digest(ids: list[str]) -> str:
