@@ -69,12 +69,13 @@ def attribute(starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarr
     """(tokens, tokens that cross a bound) of each section [lo, hi)."""
     at = starts if rule != "major" else (starts + ends - 1) // 2
     whole = np.searchsorted(at, hi) - np.searchsorted(at, lo)
-    # Tokens overlapping each bound: started before it and ended after it.
-    cut_lo = np.searchsorted(starts, lo) - np.searchsorted(ends, lo, "right")
-    cut_hi = np.searchsorted(starts, hi) - np.searchsorted(ends, hi, "right")
-    first, last = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi)
+    # Tokens overlapping each bound: started before it and ended after it.  One that overlaps both counts once.
+    before_lo, past_lo = np.searchsorted(starts, lo), np.searchsorted(ends, lo, "right")
+    before_hi, past_hi = np.searchsorted(starts, hi), np.searchsorted(ends, hi, "right")
+    both = np.maximum(before_lo - past_hi, 0)
+    first, last = past_lo, before_hi
     empty = hi <= lo
-    crossing = np.where(empty, 0, cut_lo + cut_hi)
+    crossing = np.where(empty, 0, (before_lo - past_lo) + (before_hi - past_hi) - both)
     if rule != "share":
         return np.where(empty, 0, whole).astype(float), crossing
     size = np.maximum(ends - starts, 1)
