@@ -8,7 +8,8 @@
    ``BLOCKS`` blocks by ranges of the hash.  Every document is taken
    floor(target / size) times; what is left of the target is filled with blocks
    in order of the permutation, and one block at the edge is cut at the document
-   nearest to the target.
+   nearest to the target.  The cut is found by ever finer ranges of the hash, so
+   that no task sorts the documents of a block.
 3. Tree.  The blocks to draw of each source are its exact quota.  A node of the
    tree holds such quotas for a range of shards; its units are dealt in random
    order, the first half goes to the left child and the rest to the right, which
@@ -18,8 +19,10 @@
 4. Within a shard rows are ordered by another keyed hash.
 
 The tree works on blocks (at most ``BLOCKS`` times ``CAP`` per source), never on
-documents; the documents are read for the sizes of blocks, for the blocks at the
-edge, and for the result, each time without a shuffle of rows of one source.
+documents; windows without a key are over sources or blocks.  The documents are
+read for the sizes of blocks and for the result; the table of blocks is sent to
+every executor if it has at most ``SENT`` rows, which is measured, and then no
+row with a text is shuffled.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ BLOCKS = 128
 SHARDS = 8
 SEED = 20240607
 _SPAN = 2**31
+#: Bits of a place that each step of the cut looks at, after those of the block.
+STEP = 8
+#: Rows of the table of blocks that are sent to every executor; a larger one is joined.
+SENT = 100_000
 
 
 def _hash(*cols, seed: int):
@@ -87,25 +94,52 @@ def plan(rows: DataFrame, weights=WEIGHTS, cap: float = CAP):
     before = F.sum("block_size").over(Window.partitionBy("source").orderBy("block")) - F.col("block_size")
     b = b.withColumn("before", before)
     b = cut(b.withColumn("whole", (F.col("rest") > 0) & (F.col("before") + F.col("block_size") <= F.col("rest"))))
-    edge = b.where("not whole and before < rest").select(F.col("source").alias("es"), F.col("block").alias("eb"), (F.col("rest") - F.col("before")).alias("room"))
-    inside = rows.join(edge, rows["source"].eqNullSafe(F.col("es")) & (rows["block"] == F.col("eb")))
-    # Rows that share a place are taken or left together.
-    steps = inside.groupBy("source", "block", "place").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
-    run = F.sum("size").over(Window.partitionBy("source", "block").orderBy("place"))
-    cutoff = steps.withColumn("run", run).where("run - size / 2 <= room").groupBy("source", "block").agg(F.max("place").alias("upto"))
-    cutoff = cutoff.withColumnsRenamed({"source": "cs", "block": "cb"})
+    at = b.where("not whole and before < rest").select("source", (F.col("rest") - F.col("before")).alias("room"), F.col("block").cast("bigint").alias("range"))
+    cutoff = _cut_places(rows, at).withColumnsRenamed({"source": "cs", "range": "cb"})
     out = b.join(cutoff, b["source"].eqNullSafe(F.col("cs")) & (b["block"] == F.col("cb")), "left")
     upto = F.when(F.col("whole"), F.lit(_SPAN)).otherwise(F.coalesce("upto", F.lit(-1)))
     return goal, cut(out.select("source", "block", "copies", upto.cast("bigint").alias("upto")))
 
 
+def _cut_places(rows: DataFrame, edge: DataFrame) -> DataFrame:
+    """(source, range, upto) for (source, room, range): the last place of a range so that the words up to it come nearest to room.
+
+    The range is cut into finer ones, by the next bits of the place; all that fit
+    are taken, and the first that does not is cut in turn.  Rows that share a
+    place are taken or left together.
+    """
+    bits, here = (_SPAN - 1).bit_length() - (BLOCKS - 1).bit_length(), edge.withColumn("first", F.col("range"))
+    while bits:
+        here = cut(here)
+        fine = max(bits - STEP, 0)
+        e = here.select(F.col("source").alias("es"), F.col("range").alias("er"), "room", F.col("first").alias("ef"))
+        inside = rows.join(F.broadcast(e) if _small(here) else e, rows["source"].eqNullSafe(F.col("es")) & (F.shiftright("place", bits) == F.col("er")))
+        sums = inside.groupBy("source", F.shiftright("place", fine).alias("range")).agg(F.sum("size").alias("size"), F.first("room").alias("room"), F.first("ef").alias("first"))
+        run = F.sum("size").over(Window.partitionBy("source").orderBy("range"))
+        sums = sums.withColumn("run", run)
+        if fine:
+            over = sums.where("run > room").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("range"))).where("n = 1")
+            here = over.select("source", (F.col("room") - (F.col("run") - F.col("size"))).alias("room"), "range", "first")
+        else:
+            low = F.min("range").over(Window.partitionBy("source"))
+            fits = F.max(F.when(F.col("run") - F.col("size") / 2 <= F.col("room"), F.col("range")))
+            found = sums.withColumn("low", low).groupBy("source", F.col("first").alias("range")).agg(F.coalesce(fits, F.min("low") - 1).alias("upto"))
+        bits = fine
+    return found
+
+
+def _small(table: DataFrame) -> bool:
+    return table.limit(SENT + 1).count() <= SENT
+
+
 def _dealt(rows: DataFrame, weights, cap: float, shards: int, seed: int):
     """(targets by source, blocks): ``plan``'s blocks that the tree drew, with the shard of each drawn copy (a map)."""
     goal, blocks = plan(rows, weights, cap)
     drawn = cut(split(blocks.select("source", "block", (F.col("copies") + (F.col("upto") >= 0).cast("int")).alias("draws")), shards, seed))
     shard = drawn.groupBy("source", "block").agg(F.map_from_entries(F.collect_list(F.struct("copy", "shard"))).alias("shard_of"))
     b = blocks.join(shard.withColumnsRenamed({"source": "ss", "block": "sb"}), F.col("source").eqNullSafe(F.col("ss")) & (F.col("block") == F.col("sb")))
-    return goal, b.select(F.col("source").alias("__bs"), F.col("block").alias("__bb"), F.col("copies").alias("__times"), F.col("upto").alias("__upto"), "shard_of")
+    b = b.select(F.col("source").alias("__bs"), F.col("block").alias("__bb"), F.col("copies").alias("__times"), F.col("upto").alias("__upto"), "shard_of")
+    return (F.broadcast(goal), F.broadcast(cut(b))) if _small(blocks) else (goal, b)
 
 
 def _copies(place: str):
