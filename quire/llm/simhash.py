@@ -34,6 +34,8 @@ SEED = 42
 PIECE = 65536
 #: Members of a bucket that are compared in one pass of long integers.
 BLOCK = 8192
+#: Keys of rows that are sent to every executor at most, about 40 bytes each.
+SENT = 200_000
 
 
 def fingerprint(text: str | None, n: int = SHINGLE, seed: int = SEED) -> int:
@@ -176,24 +178,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, sent: int = SENT) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) without all but one row of each near-duplicate group.
 
     A row with the least doc_id of the group stays (null: only where all are
     null); of several such rows one with the least hash of its text, and of rows
     that repeat id and text one.  Rows of one id, or without id, that are in
     different groups are judged each in its own.  Columns are those of ``docs``.
+
+    What goes, or stays once of several, is known by id, hash and length.  Up to
+    ``sent`` such keys (counted) are sent to every executor, so that rows with
+    texts stay where they lie; more are joined.  Only rows that repeat id and text
+    are gathered by key.
     """
     h, size = F.xxhash64("text"), F.length("text")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), h.alias("h"), size.alias("n"))
     found = near_duplicates(docs.select(key.alias("key"), "text"), doc_id="key").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first")
     )
-    found = cut(found.where("n > 1 or not first"))
+    found = cut(found.where("n > 1 or not first").select(F.col("doc_id.id").alias("__gi"), F.col("doc_id.h").alias("__gh"), F.col("doc_id.n").alias("__gn"), F.col("first").alias("__once")))
+    small = found.limit(sent + 1).count() <= sent
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), h.alias("__h"), size.alias("__n"))
-    gone = found.where("not first").select("doc_id.id", "doc_id.h", "doc_id.n")
-    same = rows["__id"].eqNullSafe(gone["id"]) & (rows["__h"] == gone["h"]) & rows["__n"].eqNullSafe(gone["n"])
-    rows = rows.join(gone, same, "left_anti")
-    if not found.where("first and n > 1").isEmpty():
-        rows = rows.dropDuplicates(["__id", "__h", "__n"])
-    return rows.select("__row.*")
+
+    def without(keys: DataFrame, how: str) -> DataFrame:
+        same = rows["__id"].eqNullSafe(keys["__gi"]) & (rows["__h"] == keys["__gh"]) & rows["__n"].eqNullSafe(keys["__gn"])
+        return rows.join(F.broadcast(keys) if small else keys, same, how)
+
+    once = found.where("__once")
+    kept = without(found, "left_anti").select("__row.*")
+    if once.isEmpty():
+        return kept
+    return kept.union(without(once, "left_semi").dropDuplicates(["__id", "__h", "__n"]).select("__row.*"))
