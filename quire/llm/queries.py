@@ -94,9 +94,10 @@ l as (select *, list_filter(string_split(text, chr(10)), lambda x: regexp_matche
 g as (select doc_id, p, array_to_string(w[p + 1 : p + 5], ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 4)) as p from d where len(w) >= 5)),
 r as (select doc_id, p, count(*) over (partition by doc_id, g) as n from g),
 c as (select doc_id, count(distinct q) as n_repeat_words from (select doc_id, unnest(range(p, p + 5)) as q from r where n > 1) group by doc_id),
-s as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(text) - length(regexp_replace(text, '[{quality.SYMBOLS}]', '', 'g')))::bigint as n_symbols,
+s as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
  len(ls) as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
  length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) as n_upper, length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) as n_letters from l left join c using (doc_id)),
-b as (select *, ({' or '.join(f'({x.rejects})' for x in quality.RULES if x.base)}) as base_failed, ({' or '.join(f'({x.rejects})' for x in quality.RULES)}) as rejected from s)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not rejected as kept from b""",
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+ 20 * n_symbols > word_chars or word_chars < 2 * n_words or word_chars > 20 * n_words or 2 * n_dup_lines > n_lines or 10 * n_upper > 6 * n_letters as more from s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or more) as kept from b""",
 }

@@ -61,6 +61,24 @@ def test_crossing_tokens():
     assert tokens.attribute(starts, ends, np.array([0, 4]), np.array([4, 8]), "share")[0].tolist() == [1.5, 1.5]
 
 
+def test_crossing_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(200):
+        ends = np.cumsum([rng.randint(1, 10) for _ in range(rng.randint(0, 12))]).astype(np.int64)
+        starts, size = np.r_[0, ends][:-1], int(ends[-1]) if len(ends) else 0
+        lo = np.array([rng.randint(0, size) for _ in range(6)])
+        hi = np.array([rng.randint(0, size) for _ in range(6)])
+        brute = [sum(s < b < e for s, e in zip(starts, ends) for b in {a, c} if not (b == c and s < a < e)) if c > a else 0 for a, c in zip(lo, hi)]
+        assert tokens.attribute(starts, ends, lo, hi)[1].tolist() == brute
+    assert tokens.attribute(np.array([0]), np.array([10]), np.array([3]), np.array([5]))[1].tolist() == [1]
+
+
+def test_a_very_long_word(spark):
+    enc = tokens.Encoder(tokens.vocabulary(spark, tokens.VOCABULARY))
+    ends = enc.byte_ends("ab" * (1 << 20))
+    assert ends[-1] == 2 << 20
+
+
 def test_pieces_have_the_tokens_of_the_whole(monkeypatch, spark):
     enc = tokens.Encoder(tokens.vocabulary(spark, tokens.VOCABULARY))
     rng = random.Random(4)
@@ -151,6 +169,14 @@ def test_winnowing_against_brute_force(seed):
             assert (n, hit.tolist(), got) == brute_hits(t, items)
 
 
+def test_repeated_words_take_time_by_the_word():
+    items = [(str(i), " ".join(["same"] * (10_000 + i))) for i in range(100)] + [("x", "a b " * 3000), ("y", "b a " * 5)]
+    began = time.perf_counter()
+    found = list(decontam.Index(items).texts(["same " * 10_000, "a b " * 5 + "c", "same " * 9, None]))
+    assert time.perf_counter() - began < 2
+    assert [(n, int(h.sum()), len(i)) for n, h, i in found] == [(10_000, 10_000, 100), (11, 10, 1), (9, 0, 0), (0, 0, 0)]
+
+
 def test_blocks_of_the_benchmark_agree(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
 
@@ -359,6 +385,56 @@ def test_mix(spark, sf_dir):
     assert copies == collections.Counter({r.doc_id: r.copies for r in rows if r.copies}) and {r.mix_shard for r in out} <= set(range(mixing.SHARDS))
 
 
+def brute_taken(rows, goal):
+    """Copies by row of one source: whole rounds first, then in order of place up to the one that comes nearest to the target."""
+    size = sum(r.size for r in rows)
+    times = int(goal / size + 1e-12) if size else 0
+    room, taken, run = goal - times * size, {}, 0
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.place].append(r)
+    for place in sorted(by):
+        n = sum(r.size for r in by[place])
+        run += n
+        for r in by[place]:
+            taken[r.doc_id, r.place] = times + (size > 0 and room > 0 and run - n / 2 <= room)
+    return taken
+
+
+@pytest.mark.parametrize("sent", [0, mixing.SENT])
+def test_mix_against_brute_force(spark, sf_dir, monkeypatch, sent):
+    monkeypatch.setattr(mixing, "SENT", sent)
+    monkeypatch.setattr(mixing, "BLOCKS", 2)  # blocks of many documents
+    docs = table(spark, sf_dir, "documents").unionByName(table(spark, sf_dir, "documents").where("doc_id < 9"))
+    slim = mixing.slim(docs).collect()
+    rows, by = mixing.mix(docs).collect(), collections.defaultdict(list)
+    for r in slim:
+        by[r.source].append(r)
+    target = {r.source: r.target for r in rows}
+    want = {k: v for s, x in by.items() for k, v in brute_taken(x, target[s]).items()}
+    got = {(a.doc_id, p): a.copies for a in rows for p in {b.place for b in slim if b.doc_id == a.doc_id}}
+    assert len(rows) == len(slim) and {k: want[k] for k in got} == got
+    for source in by:  # places end exactly where the nearest document ends
+        assert sum(r.taken for r in rows if r.source == source) == sum(want[r.doc_id, r.place] * r.size for r in by[source])
+
+
+def test_cut_places_by_finer_ranges(spark):
+    rnd = random.Random(2)
+    places = [rnd.randrange(3 << 24, 4 << 24) for _ in range(300)]
+    rows = [("a", p, rnd.randrange(50), 3) for p in places] + [("a", places[0], 7, 3), (None, 5, 10, 0)]
+    frame = spark.createDataFrame(rows, "source string, place int, size bigint, block int")
+    for room in (0.5, 100.0, 3000.25, float(sum(r[2] for r in rows[:-1])) - 0.5):
+        at = spark.createDataFrame([("a", room, 3), (None, 9.0, 0)], "source string, room double, range bigint")
+        got = {r.source: (r.range, r.upto) for r in mixing._cut_places(frame, at).collect()}
+        run, upto = 0, -1
+        for p in sorted({r[1] for r in rows if r[0]}):
+            n = sum(r[2] for r in rows if r[1] == p and r[0])
+            run += n
+            upto = p if run - n / 2 <= room else upto
+        taken = {r[1] for r in rows if r[0] and r[1] <= got["a"][1]}
+        assert taken == {r[1] for r in rows if r[0] and r[1] <= upto} and got["a"][0] == 3 and got[None][0] == 0 and got[None][1] == 5
+
+
 def test_mix_leaves_sources_without_words_out(spark):
     docs = spark.createDataFrame([(1, "", "a"), (2, None, "a"), (3, "one two", "b"), (4, "", "b")], "doc_id long, text string, source string")
     rows = {r.doc_id: r for r in mixing.mix(docs).collect()}
@@ -545,6 +621,26 @@ def test_order_never_changes_verdicts(spark, sf_dir, monkeypatch):
     assert 0 < len(kept) < docs.count()
 
 
+def test_rejected_rows_skip_later_rules(spark):
+    docs = spark.createDataFrame([(1, "few"), (2, "a text of at least ten words that the first rule keeps")], "doc_id bigint, text string")
+    first, loud = quality.RULES[0], quality.Rule("loud", "if(n_upper >= 0, raise_error('evaluated'), null) is null")
+
+    def reasons(rules, rows):
+        made = quality._ready(quality.F.col("text"), rows.select("doc_id", "text"), ["doc_id"])
+        return [r[0] for r in made.select(quality.first_rejection(rules)).collect()]
+
+    assert reasons([first, loud], docs.where("doc_id = 1")) == ["few_words"]
+    for rules, rows in (([first, loud], docs), ([loud, first], docs.where("doc_id = 1"))):
+        with pytest.raises(Exception, match="evaluated"):
+            reasons(rules, rows)
+
+
+def test_sample_is_bounded_and_spread(spark):
+    docs = spark.range(0, 20_000, 1, 8).selectExpr("id as doc_id", "concat('word ', id) as text")
+    assert {r.name for r in quality.plan(docs)} == {r.name for r in quality.RULES}
+    assert [r.name for r in quality.plan(docs.where("false"))] == [r.name for r in quality.RULES]
+
+
 # ---- pipeline ----
 def test_pipeline(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
