@@ -220,11 +220,73 @@ def test_warc_files(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
     (tmp_path / "b.warc").write_bytes(raw + b"WARC/1.0\r\nContent-Length: 99\r\n\r\ncut off")
     out = warc.derive_files(spark.read.format("binaryFile").load(str(tmp_path / "*.warc*"))).collect()
-    assert len(out) == 4
-    meta = [json.loads(b) for r in out for h, b in warc.records(bytes(r.warc)) if h["warc-type"] == "metadata"]
+    assert sorted((r.path[-4:], r.record, r.status) for r in out) == [("c.gz", 0, "ok"), ("c.gz", 2, "ok"), ("warc", 0, "ok"), ("warc", 2, "ok"), ("warc", 3, "cut off")]
+    meta = [json.loads(b) for r in out if r.warc for h, b in warc.records(bytes(r.warc)) if h["warc-type"] == "metadata"]
     assert sorted(m["title"] for m in meta) == ["", "", "T", "T"] and ["http://h.example/b"] in [m["links"] for m in meta]
 
 
+def test_damaged_records_are_rows_with_a_status():
+    import gzip
+
+    good = [warc.dump({"WARC-Type": "response", "WARC-Record-ID": str(i)}, b"block %d" % i * 50) for i in range(4)]
+    bad = b"WARC/1.0\r\nContent-Length: abc\r\n\r\nwhat\r\n\r\n"
+
+    def read(data):
+        return [(h.get("warc-record-id"), s) for h, _, s in warc.parsed(data)]
+
+    assert read(good[0] + bad + good[1] + b"junk before\r\n\r\n" + good[2]) == [("0", "ok"), (None, "bad header"), ("1", "ok"), (None, "bad header"), ("2", "ok")]
+    assert read(good[0] + b"x" * (3 << 20) + b"\r\n" + good[1]) == [("0", "ok"), (None, "bad header"), ("1", "ok")]
+    assert read(b"") == read(b"\r\n") == [] and read(good[0][:-30]) == [("0", "cut off")] and read(b"WARC") == [(None, "cut off")]
+    members = [gzip.compress(g) for g in good]
+    harmed = members[1][:40] + b"\xff" * 20 + members[1][60:]
+    found = read(members[0] + harmed + members[2] + members[3])
+    assert found[0] == ("0", "ok") and ("damaged" in {s for _, s in found}) and found[-2:] == [("2", "ok"), ("3", "ok")]
+    assert [s for _, s in read(members[0] + members[1][:-20])][0] == "ok" and read(members[0] + members[1][:-20])[-1][1] in ("damaged", "cut off")
+    rnd = random.Random(1)
+    whole = b"".join(members)
+    for _ in range(300):  # whatever is damaged, reading ends
+        data = bytearray(whole if rnd.random() < 0.5 else b"".join(good))
+        for _ in range(rnd.randrange(1, 5)):
+            data[rnd.randrange(len(data))] = rnd.randrange(256)
+        assert len(list(warc.parsed(bytes(data)))) < 50
+
+
+def test_payloads_are_read_as_they_were_sent():
+    import gzip
+    import zlib
+
+    import zstandard
+
+    html = "<title>T\u00e9</title><p>Hello <b>w\u00f6rld</b></p>"
+
+    def made(payload, *fields):
+        head = "".join(f"{f}\r\n" for f in ("HTTP/1.1 200 OK", *fields)).encode()
+        out = warc.derive({"warc-record-id": "r", "warc-target-uri": "http://a.example/"}, head + b"\r\n" + payload)
+        return json.loads(out[0][1]), [x[1].decode() for x in out[1:]]
+
+    raw, want = html.encode(), ["T\u00e9\nHello w\u00f6rld"]
+    chunks = b"5;x=1\r\n" + raw[:5] + b"\r\n" + b"%x\r\n" % (len(raw) - 5) + raw[5:] + b"\r\n0\r\n\r\n"
+    for payload, fields in (
+        (raw, ["Content-Type: text/html"]), (gzip.compress(raw), ["Content-Encoding: gzip"]), (zlib.compress(raw), ["Content-Encoding: deflate"]), (chunks, ["Transfer-Encoding: chunked"]),
+        (zstandard.compress(raw), ["Content-Encoding: zstd"]), (html.encode("latin-1"), ["Content-Type: text/html; charset=iso-8859-1"]), (raw, ["Content-Type: text/html; charset=no-such"]), (raw, ["Transfer-Encoding: chunked"]),
+    ):
+        meta, text = made(payload, *fields)
+        assert meta["title"] == "T\u00e9" and text == want, fields
+    assert made(b"\x89PNG\0", "Content-Type: image/png")[1] == [] and made(b"a\0b")[1] == []
+    assert made(b"xx", "Content-Type: text/html", "Content-Encoding: br")[0]["undecoded"] == "br" and made(b"xx", "Content-Encoding: gzip")[1] == []
+    assert made(b"a < b\n c", "Content-Type: text/plain")[1] == ["a < b\n c"]
+
+
+def test_warc_files_are_written_once_whole(spark, sf_dir, tmp_path):
+    written = warc.write_records(table(spark, sf_dir, "pages").repartition(3))
+    made = warc.write_files(written, f"file://{tmp_path}/out").collect()
+    assert len(made) == 3 and sum(r.rows for r in made) == written.count()
+    back = warc.derive_files(spark.read.format("binaryFile").load(f"{tmp_path}/out/*.gz"))
+    assert back.where("status = 'ok'").count() == written.count() == back.count()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"part-{i:06d}.warc.gz" for i in range(3)]
+    assert warc.report(warc.write_records(table(spark, sf_dir, "pages").selectExpr("concat('p', page_id) as page_id", "url", "html"))).count() == written.count()
+
+
 # ---- 6: SimHash ----
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
