@@ -1,15 +1,16 @@
 """Toxicity severity by cumulative-link (proportional odds) regression.
 
-Grades are ordered: 0 for clean rows; labelled toxic rows have grade 1 to
-``GRADES - 1`` by how many of the terms that mark toxic rows they have, since
-the labels give no severity themselves.  One weight vector is shared by all
-thresholds: P(grade > k) = logistic(w.x - theta_k) with theta increasing, and
-the expected severity is the sum of these over k.
-
-Features are words and their prefixes (sparse, log of a capped count).  The
-vocabulary is chosen on the labelled sample by a Spark aggregation; only the
-``FEATURES`` strongest and the sample's sparse rows reach the driver.  The fit
-takes at most ``LABELLED`` labelled rows, chosen by a hash; scoring reads every
+Grades are ordered: 0 for clean rows; the labels give no severity themselves, so
+a labelled toxic row has grade 1 to ``GRADES - 1`` by its dose, the number of
+its words that mark toxic rows in the other half of the sample: what a row's
+grade rests on comes from rows that it isn't among.  One weight vector is shared
+by all thresholds: P(grade > k) = logistic(w.x - theta_k) with theta increasing,
+and the expected severity is the sum of these over k.
+
+Features are words and their prefixes (sparse, log of a count).  The vocabulary
+is chosen on the labelled sample by one Spark aggregation; only the ``FEATURES``
+strongest and the sample's sparse rows reach the driver.  The fit takes at most
+``LABELLED`` labelled rows, chosen by a hash, one per id; scoring reads every
 row's whole text.
 """
 
@@ -34,64 +35,83 @@ PREFIXES = (4, 5, 6, 7)
 MIN_DOCS = 4
 #: Times that a term must be more frequent in toxic rows than in others.
 LIFT = 3
-CAP = 4
 FALSE_ALARM = 5
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None, known: dict[str, tuple] | None = None) -> Counter:
-    """Counts of the words (as they are) and word prefixes (with a hyphen) of a text."""
+def forms(word: str) -> list[str]:
+    """The terms of a word: itself and its prefixes, with a hyphen."""
+    return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
+
+
+def terms(text: str | None) -> Counter:
+    """Counts of the terms of a text."""
     out: Counter = Counter()
     for word, n in Counter(WORD.findall((text or "").lower())).items():
-        out[word] += n
-        for k in PREFIXES:
-            if len(word) > k:
-                out[word[:k] + "-"] += n
+        for t in forms(word):
+            out[t] += n
     return out
 
 
+def dose(text: str | None, marking: frozenset) -> int:
+    """Number of a text's words that have a marking term."""
+    words = Counter(WORD.findall((text or "").lower()))
+    return sum(n for w, n in words.items() if any(t in marking for t in forms(w)))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> DataFrame:
-    """At most ``rows`` labelled documents: text and toxic (0/1)."""
+    """At most ``rows`` labelled documents: text, toxic (0/1) and half (0/1).
+
+    Null ids and labels are left out, of several labels of an id the greatest
+    counts, of several texts the one with the least hash.
+    """
     chosen = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # The sample is bounded by ``rows``, so it may be sent to every executor.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    return found.select("text", "toxic", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2)).cast("int").alias("half"))
+
 
+def vocabulary(sample: DataFrame, size: int = FEATURES) -> list[list[str]]:
+    """The terms that mark toxic rows most (more frequent there, and by more than chance would have it): of each half of the sample, and of all.
 
-def vocabulary(sample: DataFrame, size: int = FEATURES) -> list[str]:
-    """The terms of the sample that mark toxic rows most: more frequent there, and by more than chance would have it."""
+    Null texts have no terms; a part without toxic, or without clean rows gives none.
+    """
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 counts: dict[str, list[int]] = {}
-                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for text, toxic, half in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     for t in terms(text):
-                        c = counts.setdefault(t, [0, 0])
-                        c[toxic > 0] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], names=["term", "clean", "toxic"]
-                )
-
-    total = sample.agg(F.sum((F.col("toxic") > 0).cast("long")), F.count(F.lit(1))).first()
-    pos, n = total[0] or 0, total[1]
-    if not pos or pos == n:
-        return []
-    by = sample.mapInArrow(run, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rate, clean = F.col("toxic") / pos, F.col("clean") / (n - pos)
-    spread = F.sqrt((F.col("toxic") + F.col("clean") + 1.0) / n)
-    rare = F.col("toxic") + F.col("clean") < max(MIN_DOCS, n // 1000)
-    best = by.where(~rare & (rate > LIFT * clean)).orderBy(((rate - clean) / spread).desc(), "term").limit(size)
-    return [r.term for r in best.select("term").collect()]
+                        c = counts.setdefault(t, [0] * 4)
+                        c[2 * half + (toxic > 0)] += 1
+                cols = [pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *cols], names=["term", "c0", "t0", "c1", "t1"])
+
+    totals = {(r.half, r.toxic): r.n for r in sample.groupBy("half", (F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    by = sample.select("text", "toxic", "half").mapInArrow(run, "term string, c0 bigint, t0 bigint, c1 bigint, t1 bigint").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
+    by, out = cut(by), []
+    for halves in ((0,), (1,), (0, 1)):
+        pos, neg = (sum(totals.get((h, t), 0) for h in halves) for t in (1, 0))
+        if not pos or not neg:
+            out.append([])
+            continue
+        toxic, clean = (sum((F.col(f"{k}{h}") for h in halves), F.lit(0)) for k in "tc")
+        n, rate, base = pos + neg, toxic / pos, clean / neg
+        rare = toxic + clean < max(MIN_DOCS, n // 1000)
+        best = by.where(~rare & (rate > LIFT * base)).orderBy(((rate - base) / F.sqrt((toxic + clean + 1.0) / n)).desc(), "term").limit(size)
+        out.append([r.term for r in best.select("term").collect()])
+    return out
 
 
 class Model:
     """Weights by term, thresholds; ``terms`` in a fixed order."""
 
-    def __init__(self, names: list[str], weights: np.ndarray, thresholds: np.ndarray, cut: float = 0.5):
-        keep = np.flatnonzero(np.abs(weights) > 1e-3)
-        self.weights = {names[i]: float(weights[i]) for i in keep}
+    def __init__(self, names: list[str], weights, thresholds, cut: float = 0.5):
+        self.weights = {t: float(w) for t, w in zip(names, weights, strict=True) if abs(w) > 1e-3}
         self.thresholds = [float(t) for t in thresholds]
         self.cut = cut
         self.known: dict[str, tuple[str, ...]] = {}
@@ -101,12 +121,12 @@ class Model:
         for word, n in Counter(WORD.findall((text or "").lower())).items():
             hits = self.known.get(word)
             if hits is None:
-                hits = tuple(t for t in (word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)) if t in self.weights)
+                hits = tuple(t for t in forms(word) if t in self.weights)
                 if len(self.known) < 200_000:
                     self.known[word] = hits
             for t in hits:
                 counts[t] += n
-        return sum(self.weights[t] * np.log1p(min(n, CAP)) for t, n in counts.items())
+        return sum(self.weights[t] * np.log1p(n) for t, n in counts.items())
 
     def above(self, text: str | None) -> list[float]:
         """P(grade > k) for every threshold."""
@@ -144,22 +164,22 @@ def _thresholds(z, y, p):
     return p, theta(p)
 
 
-def fit(names: list[str], rows: list[tuple[list[int], list[int], int]], grades: int = GRADES, ridge: float = 0.5, rounds: int = 12) -> Model:
+def fit(names: list[str], rows: list[tuple[list[int], list[int], int, int]], grades: int = GRADES, ridge: float = 0.5, rounds: int = 12) -> Model:
     """Ridge-penalised maximum likelihood: Newton steps on the shared weights, then on the thresholds.
 
-    ``rows``: (term indexes, counts, toxic).  For a grade between
+    ``rows``: (term indexes, counts, toxic, dose).  For a grade between
     thresholds a and b the log likelihood is log(s(z-a) - s(z-b)), whose slope in
     z is 1 - s(z-a) - s(z-b).
     """
     if not names or not rows:
         return Model([], np.zeros(0), np.full(grades - 1, 20.0) + np.arange(grades - 1))
     x = np.zeros((len(rows), len(names)), np.float32)
-    for i, (at, n, _) in enumerate(rows):
-        x[i, at] = np.log1p(np.minimum(n, CAP))
-    toxic = np.array([t > 0 for _, _, t in rows])
-    marks = x.sum(1)
-    bounds = np.quantile(marks[toxic], np.arange(1, grades - 1) / (grades - 1))
-    y = np.where(toxic, 1 + np.searchsorted(bounds, marks), 0)
+    for i, (at, n, *_) in enumerate(rows):
+        x[i, at] = np.log1p(n)
+    toxic = np.array([t > 0 for _, _, t, _ in rows])
+    doses = np.array([d for *_, d in rows])
+    bounds = np.quantile(doses[toxic], np.arange(1, grades - 1) / (grades - 1))
+    y = np.where(toxic, 1 + np.searchsorted(bounds, doses), 0)
     w, p = np.zeros(len(names)), np.r_[-np.log(toxic.mean() / (1 - toxic.mean())), np.zeros(grades - 2)]
     p, theta = _thresholds(np.zeros(len(y)), y, p)
 
@@ -189,24 +209,24 @@ def fit(names: list[str], rows: list[tuple[list[int], list[int], int]], grades:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED, size: int = FEATURES) -> Model:
+    """The model of a labelled sample; without toxic or without clean rows one that flags nothing."""
     sample = cut(labelled_sample(docs, labels, rows))
-    names = vocabulary(sample, size)
-    index = {t: i for i, t in enumerate(names)}
+    *halves, names = vocabulary(sample, size)
+    index, others = {t: i for i, t in enumerate(names)}, [frozenset(halves[1]), frozenset(halves[0])]
 
     def run(batches):
         for batch in batches:
-            ats, ns = [], []
-            for text in batch.column(0).to_pylist():
-                found = terms(text)
-                hit = {index[t]: n for t, n in found.items() if t in index}
+            ats, ns, doses = [], [], []
+            for text, half in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                hit = {index[t]: n for t, n in terms(text).items() if t in index}
                 ats.append(list(hit))
                 ns.append(list(hit.values()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ats, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32())), batch.column(1)], names=["at", "n", "toxic"]
-            )
+                doses.append(dose(text, others[half]))
+            cols = [pa.array(ats, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32())), batch.column(1), pa.array(doses, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["at", "n", "toxic", "dose"])
 
-    sparse = sample.mapInArrow(run, "at array<int>, n array<int>, toxic int").collect()
-    return fit(names, sorted((list(r.at), list(r.n), r.toxic) for r in sparse))
+    sparse = sample.mapInArrow(run, "at array<int>, n array<int>, toxic int, dose bigint").collect()
+    return fit(names, sorted((list(r.at), list(r.n), r.toxic, r.dose) for r in sparse))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -214,10 +234,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts score as texts without features; repeated rows repeat; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values, as executors may have no copy of this module.
+    sent = docs.sparkSession.sparkContext.broadcast((list(model.weights), list(model.weights.values()), model.thresholds, model.cut))
 
     def run(batches):
-        m = sent.value
+        m = Model(*sent.value)
         for batch in batches:
             above = [m.above(t) for t in batch.column(1).to_pylist()]
             cols = [pa.array([sum(a) for a in above], pa.float64()), pa.array([sum(p >= 0.5 for p in a) for a in above], pa.int32()), pa.array([a[0] >= m.cut for a in above], pa.bool_())]

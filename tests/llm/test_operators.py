@@ -105,6 +105,40 @@ def test_held_out_toxicity(spark):
     assert severe[1] > 5 * severe[0] and model.thresholds == sorted(model.thresholds)
 
 
+def test_expected_severity_follows_the_dose(spark):
+    """Rows with more of their words marking, made by rule, are expected to be more severe, also by a model that never saw them."""
+    rng = random.Random(8)
+    bad, plain = [f"nasty{c}" for c in "abcdef"], [f"word{i}" for i in range(300)]
+
+    def row(share):
+        return " ".join(rng.choice(bad) if rng.random() < share else rng.choice(plain) for _ in range(60)) + (" nastya" if share else "")
+
+    shares = [rng.choice([0, 0, 0, 0.05, 0.2, 0.5]) for _ in range(900)]
+    docs = spark.createDataFrame([(i, row(x)) for i, x in enumerate(shares)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(x > 0)) for i, x in enumerate(shares) if i % 3], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    mean = [np.mean([got[i].expected_severity for i, x in enumerate(shares) if x == s and i % 3 == 0]) for s in (0, 0.05, 0.2, 0.5)]
+    assert mean == sorted(mean) and mean[0] < 0.1 and mean[3] > mean[1] + 1
+    assert all(got[i].toxic == (x > 0) for i, x in enumerate(shares))
+
+
+def test_probabilities_against_their_definition(spark):
+    model = toxicity.Model(["bad", "wors-"], [1.5, 0.7], [0.5, 1.0, 2.0])
+    text = "Bad bad day, worse"
+    z = 1.5 * np.log1p(2) + 0.7 * np.log1p(1)
+    want = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+    row = toxicity.score(spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    assert np.allclose(model.above(text), want) and abs(row[0].expected_severity - sum(want)) < 1e-9 and row[0].severity == sum(p >= 0.5 for p in want)
+    assert abs(row[1].expected_severity - sum(1 / (1 + np.exp(t)) for t in model.thresholds)) < 1e-9 and not row[1].toxic
+
+
+def test_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i % 5, i % 2) for i in range(50)] + [(None, 1), (1, None)], "doc_id bigint, toxic int")
+    assert toxicity.labelled_sample(docs, labels, 3).count() == 3 and toxicity.labelled_sample(docs, labels).count() == 5
+    assert not any(r.toxic for r in toxicity.score(docs, toxicity.train(docs, labels.where("false"))).collect())
+
+
 # ---- 3: chat ----
 def test_events_fold(spark):
     log = [
