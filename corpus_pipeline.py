@@ -9,13 +9,12 @@ through all stages.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontam, mixing, pii, quality, simhash
-from quire.llm.common import table
+from quire.llm.common import shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("pipeline")
-    name = uuid.uuid4().hex
+    folder, name = shared_folder(spark), uuid.uuid4().hex
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/pipeline-{name}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
