@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, texts_of
 
 WINDOW = 10
 K = 5
@@ -198,24 +198,28 @@ class Index:
             same[i] = words[w] == [data[x:y] for x, y in zip(starts[a : a + self.window].tolist(), ends[a : a + self.window].tolist(), strict=True)]
         return at[same], which[same]
 
-    def texts(self, texts: list[str | None]):
-        """For each text (number of words, hit of each word, items)."""
-        raw = [(t or "").encode().lower() for t in texts]
-        lo = 0
-        while lo < len(raw):
-            hi, size = lo + 1, len(raw[lo])
-            while hi < len(raw) and size + len(raw[hi]) < self.chunk:
-                size += len(raw[hi]) + 1
-                hi += 1
-            if hi == lo + 1 and len(raw[lo]) > self.chunk:
-                yield self.long_text(raw[lo])
+    def texts(self, texts):
+        """For each of some texts (or null) number of words, hit of each word, items; they are taken in chunks."""
+        part, size = [], 0
+        for text in texts:
+            raw = (text or "").encode().lower()
+            if part and size + len(raw) >= self.chunk:
+                yield from self._chunk(part)
+                part, size = [], 0
+            if len(raw) > self.chunk:
+                yield self.long_text(raw)
             else:
-                bounds = np.cumsum([0, *(len(x) + 1 for x in raw[lo:hi])])[:-1]
-                _, owner, hit, items = self.scan(b"\0".join(raw[lo:hi]), bounds)
-                ends = np.searchsorted(owner, np.arange(hi - lo + 1))
-                for i in range(hi - lo):
-                    yield int(ends[i + 1] - ends[i]), hit[ends[i] : ends[i + 1]], items.get(i, set())
-            lo = hi
+                part.append(raw)
+                size += len(raw) + 1
+        if part:
+            yield from self._chunk(part)
+
+    def _chunk(self, raw: list[bytes]):
+        bounds = np.cumsum([0, *(len(x) + 1 for x in raw)])[:-1]
+        _, owner, hit, items = self.scan(b"\0".join(raw), bounds)
+        ends = np.searchsorted(owner, np.arange(len(raw) + 1))
+        for i in range(len(raw)):
+            yield int(ends[i + 1] - ends[i]), hit[ends[i] : ends[i + 1]], items.get(i, set())
 
     def long_text(self, data: bytes):
         """The same in pieces that share ``window`` words, so that no window is cut."""
@@ -258,12 +262,12 @@ def _scan(docs: DataFrame, sent) -> DataFrame:
     def run(batches):
         index = _index(sent)
         for batch in batches:
-            found = list(index.texts(batch.column(batch.num_columns - 1).to_pylist()))
+            found = [(n, _spans(hit), sorted(items)) for n, hit, items in index.texts(texts_of(batch.column(batch.num_columns - 1)))]
             cols = [
                 *batch.columns[:-1],
                 pa.array([n for n, _, _ in found], pa.int64()),
-                pa.array([[{"lo": a, "hi": b} for a, b in _spans(h)] for _, h, _ in found], pa.list_(pa.struct({"lo": pa.int64(), "hi": pa.int64()}))),
-                pa.array([sorted(x) for _, _, x in found], pa.list_(pa.string())),
+                pa.array([[{"lo": a, "hi": b} for a, b in s] for _, s, _ in found], pa.list_(pa.struct({"lo": pa.int64(), "hi": pa.int64()}))),
+                pa.array([x for _, _, x in found], pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "n_words", "spans", "items"])
 
@@ -340,7 +344,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = _index(sent)
         for part in texts:
-            yield pa.array([not hit.any() for _, hit, _ in index.texts(part.to_pylist())], pa.bool_())
+            yield pa.array([not hit.any() for _, hit, _ in index.texts(texts_of(part))], pa.bool_())
 
     return docs.where(clean("text"))
 

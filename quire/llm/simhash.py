@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, texts_of
 from .graph import components
 
 BITS = 64
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, n) for t in batch.column(1).to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t, n) for t in texts_of(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, texts_of
 
 #: Bound of the labelled sample.
 LABELLED = 8000
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = Model(*sent.value)
         for batch in batches:
-            above = [m.above(t) for t in batch.column(1).to_pylist()]
+            above = [m.above(t) for t in texts_of(batch.column(1))]
             cols = [pa.array([sum(a) for a in above], pa.float64()), pa.array([sum(p >= 0.5 for p in a) for a in above], pa.int32()), pa.array([a[0] >= m.cut for a in above], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "expected_severity", "severity", "toxic"])
 
