@@ -269,16 +269,17 @@ def strip_toc(spark, d):
 _HOST = r"regexp_extract(url, '^https?://([^/?#]+)', 1)"
 
 
-@query(rf"""with h as (select page_id, {_HOST} as host from pages), hs as (select distinct regexp_replace(lower(host), '^www\.', '') as host from h where page_id % 2 = 0),
-src as (select d.doc_id, case when doc_id % 3 = 0 then d.text || {NL} || {NL} || '*https://' || h.host || '/x*' || {NL} || {NL} || h.host || ' is said' else d.text end as text from documents d join h on h.page_id = d.doc_id % 50), {_DBLOCKS},
+@query(rf"""with h as (select page_id, {_HOST} as host from pages), hs as (select distinct regexp_replace(lower(host), '^www\.', '') as host from h where host not like '%.net'),
+src as (select d.doc_id, case when doc_id % 3 = 0 then d.text || {NL} || {NL} || '*https://' || h.host || '/x*' || {NL} || {NL} || h.host || ' is said' else d.text end as text from documents d join h on h.page_id = d.doc_id % (select count(*) from pages)), {_DBLOCKS},
 n as (select *, regexp_replace(lower(regexp_replace(regexp_replace(text, '^[*_()\[\]]+|[*_()\[\]]+$', '', 'g'), '^(https?://)?(www\.)?', '', 'i')), '/+$', '') as k from blocks)
 select doc_id, block_no::int as block_no, text from n where regexp_matches(k, '\s') or string_split(k, '/')[1] not in (select host from hs)""")
 def strip_watermarks(spark, d):
     h = _t(spark, d, "pages").select("page_id", F.expr(_HOST.replace("(url, '", "(url, r'")).alias("host"))
-    docs = _t(spark, d, "documents").join(h, F.expr("page_id = doc_id % 50"))
+    n = h.agg(F.count(F.lit(1)).alias("n"))
+    docs = _t(spark, d, "documents").join(F.broadcast(n)).withColumn("page", F.expr("doc_id % n")).join(h, F.expr("page_id = page"))
     text = r"case when doc_id % 3 = 0 then concat(text, '\n\n*https://', host, '/x*\n\n', host, ' is said') else text end"
     rows = B.blocks(docs.select("doc_id", F.expr(text).alias("text")))
-    return B.without_watermarks(rows, h.where("page_id % 2 = 0").select("host")).select("doc_id", "block_no", "text")
+    return B.without_watermarks(rows, h.where("host not like '%.net'").select("host")).select("doc_id", "block_no", "text")
 
 
 _HEAD = "case doc_id % 3 when 0 then replace(text, {n}, concat({n}, '## Head  ', {n}, '```py', {n}, '# no', {n}, '```', {n})) when 1 then replace(text, {n}, concat({n}, '~~~', {n}, '# T', {n})) else concat('# Top', {n}, text) end"
@@ -353,7 +354,7 @@ def accept_translation(spark, d):
 
 
 _DPOLISH = _dgate([
-    ("empty", f"{_ds('candidate')} <> ''"), ("parity", _DPAR.format(c="candidate")), ("emphasis", _DSPAN.format(c="candidate")),
+    ("empty", f"{_ds('candidate')} <> ''"), ("parity", _DPAR.format(c="candidate")), ("nesting", _DNEST.format(c="candidate")), ("emphasis", _DSPAN.format(c="candidate")),
     ("chars", f"length({_dplain('source')}) < 40 or length({_dplain('candidate')})::double / length({_dplain('source')}) between (case when {_duntranslated('source')} then 0.35 else 0.4 end) and (case when {_duntranslated('source')} then 3.0 else 2.5 end)"),
     ("words", f"{_dw(_dplain('source'))} < 12 or {_duntranslated('source')} or {_dw(_dplain('candidate'))}::double / {_dw(_dplain('source'))} between 0.5 and 2.2"),
     ("script", f"{_dw(_dplain('candidate'))} < 8 or {_dcyr(_dplain('candidate'))} >= 0.5 or {_dletters(_dplain('source'))} < 24"),
@@ -362,7 +363,7 @@ _DPOLISH = _dgate([
 
 @query(f"with {_DC} select conv_id, turn, {_DPOLISH} as failed from c")
 def accept_polish(spark, d):
-    return _candidates(spark, d).select("conv_id", "turn", gates.polish_gate(pre="source").alias("failed"))
+    return _candidates(spark, d).select("conv_id", "turn", gates.polish_gate(pre="source", source="source").alias("failed"))
 
 
 @query(f"with {_DC}, f as (select conv_id, {_DACCEPT} as failed from c) select failed, count(*)::bigint as units, count(distinct conv_id)::bigint as convs from f group by failed")
@@ -389,32 +390,66 @@ def fidelity(spark, d):
 
 
 # ---- trees ----
-@query(r"""select page_id as doc_id, i::int as label_no, trim(regexp_replace(l[i], '\s+', ' ', 'g')) as text from (select page_id, l, unnest(range(1, len(l) + 1)) as i from (select page_id, regexp_extract_all(html, '<a href="[^"]*">([^<]+)</a>', 1) as l from pages))""")
+@query(r"""select page_id as doc_id, i::int as label_no, regexp_replace(l[i], '^\s+|\s+$', '', 'g') as text from (select page_id, l, unnest(range(1, len(l) + 1)) as i from (select page_id, regexp_extract_all(html, '<a href="[^"]*">([^<]+)</a>', 1) as l from pages))""")
 def nav_labels(spark, d):
     return units.nav_labels(_t(spark, d, "pages"), "page_id")
 
 
-@query()
+# The pages' markup as SQL sees it: list items with a link, a box, a title, paragraphs (some open with an unclosed b that ends with a br), a foot.
+def _dplainhtml(s: str) -> str:
+    return rf"regexp_replace(replace(replace(replace({s}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+
+
+def _dhtml(s: str) -> str:
+    return f"replace(replace(replace({s}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+_DUNITS = rf"""
+ps as (select page_id, regexp_extract_all(regexp_replace(html, '^.*?<body>', '', 's'), '<(?:li|div class="ad"|h1|p|footer)>(?:[^<]|<a href="[^"]*">|</a>|<b>|<br>)*', 0) as l from pages),
+pc as (select page_id, i::int as n, l[i] as piece from (select page_id, l, unnest(range(1, len(l) + 1)) as i from ps)),
+pt as (select page_id, n, regexp_extract(piece, '^<(\w+)', 1) as tag, regexp_extract(piece, '<a href="([^"]*)">', 1) as href, contains(piece, '<b>') as bold,
+ {_dplainhtml("regexp_replace(regexp_replace(regexp_replace(piece, '^<[^>]*>', ''), '<a href=[^>]*>', ''), '</a>|<b>|<br>', '', 'g')")} as t from pc),
+us as (select page_id as doc_id, row_number() over (partition by page_id order by n)::int as unit_no, tag, href, bold, t, case when tag = 'li' then '[[1]]' || t || '[[/1]]' when bold then '[[1]]' || t || '[[2/]][[/1]]' else t end as text from pt where trim(t) <> '')"""
+
+
+@query(rf"""with {_DUNITS} select doc_id, unit_no, tag, text, {_dw('t')}::int as n_words,
+case when tag = 'li' then '<a href="' || href || '">' || {_dhtml('t')} || '</a>' when bold then '<b>' || {_dhtml('t')} || '<br/></b>' else {_dhtml('t')} end as xhtml from us""")
 def html_units(spark, d):
     found = units.units(_t(spark, d, "pages"), "page_id")
     return found.select("doc_id", "unit_no", "tag", "text", "n_words", F.expr(P.rebuilt("text", "inlines")).alias("xhtml"))
 
 
-@query()
+_DLABEL = _dgate([
+    ("empty", f"{_ds('candidate')} <> ''"), ("length", f"{_dw('source')} < 3 or {_dw('candidate')}::double / {_dw('source')} between 0.3 and 3.0"),
+    ("echo", f"not ({_dw(_dfold('source'))} >= 4 and {_dfold('source')} = {_dfold('candidate')})"), ("script", f"{_dw('candidate')} < 3 or {_dcyr('candidate')} >= 0.45"),
+])
+_DLABELP = _dgate([
+    ("empty", f"{_ds('candidate')} <> ''"), ("untranslated", f"not {_duntranslated('candidate')}"), ("same", f"{_dfold('source')} <> {_dfold('candidate')}"),
+    ("script", f"{_dw('candidate')} < 3 or {_dcyr('candidate')} >= 0.5"),
+])
+_LABEL = "case doc_id % 5 when 0 then source when 1 then '' when 2 then {p} when 3 then {c} else {two} end"
+
+
+@query(rf"""with {_DUNITS}, l as (select doc_id, unit_no as label_no, trim(t) || ' ' || doc_id || case when unit_no % 2 = 0 then ' one two three four' else '' end as source from us where tag = 'li'),
+c as (select *, {_LABEL.format(p=_dpseudo('source'), c="source || ' x'", two="source || ' ' || source || ' ' || source || ' ' || source")} as candidate from l) select doc_id, label_no, {_DLABEL} as failed, {_DLABELP} as polish_failed from c""")
 def label_gates(spark, d):
-    rows = units.nav_labels(_t(spark, d, "pages"), "page_id").withColumnRenamed("text", "source").withColumn("candidate", F.expr(T.pseudo_translated("source"))).withColumn("target", F.lit("bg"))
+    rows = units.nav_labels(_t(spark, d, "pages"), "page_id").select("doc_id", "label_no", F.expr("concat(text, ' ', doc_id, if(label_no % 2 = 0, ' one two three four', ''))").alias("source"))
+    cand = _LABEL.format(p=T.pseudo_translated("source"), c="concat(source, ' x')", two="concat_ws(' ', source, source, source, source)")
+    rows = rows.withColumn("candidate", F.expr(cand)).withColumn("target", F.lit("bg"))
     return rows.select("doc_id", "label_no", gates.label_gate().alias("failed"), gates.polished_label_gate().alias("polish_failed"))
 
 
 # ---- wire, checkpoints ----
-@query(r"select conv_id, rank::int as unit_no, regexp_replace(text, '^\n+|\n+$', '', 'g') as text from (select conv_id, row_number() over (partition by conv_id order by turn) as rank, text from conversations) where rank <= 3")
+@query(r"select conv_id, row_number() over (partition by conv_id order by turn)::int as unit_no, regexp_replace(text, '^\n+|\n+$', '', 'g') as text from conversations")
 def wire_roundtrip(spark, d):
+    """All turns, rendered and parsed; an answer's unknown number is dropped."""
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = _t(spark, d, "conversations").select("conv_id", rank.alias("unit_no"), "text")
-    sent = wire.render(rows, "conv_id").withColumn("expected", F.lit(3)).withColumn("payload", F.concat("payload", F.lit("\n<<<9>>>\nnone")))
-    return wire.parse(sent, "conv_id")
+    sent = wire.render(rows, "conv_id")
+    more = F.concat("payload", F.lit("\n<<<"), (F.col("expected") + 1).cast("string"), F.lit(">>>\nnone"))
+    return wire.parse(sent.withColumn("payload", more), "conv_id")
 
 
 _CACHED = "substring(sha1('stage' || chr(1) || text), 1, 10)"
@@ -489,25 +524,73 @@ def raster_filter(spark, d):
     return figures.real_rasters(rows).select("event_id")
 
 
-@query()
-def figure_plan(spark, d):
-    ops = _t(spark, d, "events").selectExpr("cast(user_id % 2 as string) as book_id", "cast(event_id % 3 as int) as page", "cast(event_id % 300 as double) as x0", "cast((event_id * 7) % 500 as double) as y0")
-    ops = ops.selectExpr("*", "x0 + 60 as x1", "y0 + 30 as y1").select("book_id", "page", "x0", "y0", "x1", "y1")
+# Draw operations that hang together on each page; page 9 of a book has few of them, on a small area.
+_OP = "user_id % 2 as book, case when event_id % 101 = 0 then 9 else event_id % 3 end as page, case when event_id % 101 = 0 then event_id % 60 else event_id % 300 end as x0, case when event_id % 101 = 0 then (event_id * 7) % 50 else (event_id * 7) % 500 end as y0"
+_PROSE = " ".join(["word"] * 22)
+_DFIG = f"""
+o as (select {_OP} from events), b as (select book::varchar as book_id, page::int as page, count(*) as n, greatest(min(x0 // 6) * 6 - 4, 0)::double as x0, greatest(min(y0 // 6) * 6 - 4, 0)::double as y0,
+ least((max((x0 + 60) // 6) + 1) * 6 + 4, 400)::double as x1, least((max((y0 + 30) // 6) + 1) * 6 + 4, 600)::double as y1 from o group by 1, 2), f as (select * from b where n >= 30)"""
+
+
+def _figures(spark, d):
+    ops = _t(spark, d, "events").selectExpr(*_OP.replace(", case", "\n case").split("\n"))
+    ops = ops.selectExpr("cast(book as string) as book_id", "cast(page as int) as page", "cast(x0 as double) as x0", "cast(y0 as double) as y0").selectExpr("*", "x0 + 60 as x1", "y0 + 30 as y1")
     pages = ops.select("book_id", "page").distinct().withColumn("width", F.lit(400.0)).withColumn("height", F.lit(600.0))
-    texts = ops.where("x0 % 37 = 0").withColumn("text", F.lit("a label"))
+    texts = ops.where("x0 % 37 = 0").withColumn("text", F.expr(f"if(y0 % 2 = 0, '{_PROSE}', 'a label')"))
     none = texts.where("false").withColumn("w_px", F.lit(0)).withColumn("h_px", F.lit(0))
     found = figures.regions(pages, ops, texts, none)
-    return figures.plan(found, ops, texts, none)[0]
+    return figures.plan(found, ops, texts, none)
+
+
+@query(f"with {_DFIG} select book_id, page, 0 as k, x0, y0, x1, y1, printf('fig-%04d-%02d.png', page + 1, 0) as file_name from f")
+def figure_plan(spark, d):
+    return _figures(spark, d)[0]
+
+
+@query(f"""with {_DFIG} select f.book_id, f.page, 0 as k, o.x0::double as x0, o.y0::double as y0, o.x0 + 60.0::double as x1, o.y0 + 30.0::double as y1, case when o.y0 % 2 = 0 then '{_PROSE}' else 'a label' end as text,
+case when o.y0 % 2 = 0 then 'body' else 'label' end as kind from f join o on f.book_id = o.book::varchar and f.page = o.page where o.x0 % 37 = 0""")
+def figure_texts(spark, d):
+    """The texts in figures: prose stays text, labels go into the picture."""
+    return _figures(spark, d)[1]
 
 
 # ---- whole pipelines, offline ----
-@query()
-def translate_pages(spark, d):
+_DTRANS = f"""{_DUNITS}, c as (select *, text as source, {_dpseudo('text')} as candidate, {_dpseudo('t')} as said from us), g as (select *, {_DACCEPT} as failed from c)"""
+
+
+def _translated(spark, d):
     pages = _t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html", F.col("url").alias("name"))
-    return pipelines.translate(pages, stage.Transform("pseudo-1", stage.pseudo, delay=0), name_contains="example")[1]
+    return pipelines.translate(pages, stage.Transform("pseudo-1", stage.pseudo, delay=0))
+
+
+@query(f"with {_DTRANS} select doc_id, unit_no, text, case when failed is null then candidate else text end as final, case when failed is null then 'ok' else 'verbatim' end as status from g")
+def translate_pages(spark, d):
+    return _translated(spark, d)[1].select("doc_id", "unit_no", "text", "final", "status")
+
+
+@query(rf"""with {_DTRANS}, x as (select doc_id, unit_no, tag, href, bold, {_dhtml("case when failed is null then said else t end")} as t from g),
+w as (select doc_id, string_agg(case when tag = 'li' then '<li><a href="' || href || '">' || t || '</a></li>' end, '' order by unit_no) as lis, max(case when tag = 'div' then t end) as box, max(case when tag = 'footer' then t end) as foot,
+ string_agg(case when tag = 'h1' then '<h1>' || t || '</h1>' when tag = 'p' then '<p>' || case when bold then '<b>' || t || '<br/></b>' else t end || '</p>' end, '' order by unit_no) as art from x group by doc_id),
+h as (select page_id as doc_id, replace(regexp_extract(html, '^(.*?)<title>', 1, 's'), '<meta charset="utf-8">', '<meta charset="utf-8"/>') as lead, {_dhtml(_dplainhtml("regexp_extract(html, '<title>([^<]*)', 1)"))} as title,
+ regexp_extract(html, '</title>.*?<body>', 0, 's') as rest, regexp_extract(html, '<!--[^>]*-->', 0) as note from pages)
+select doc_id, lead || '<title>' || title || rest || '<nav><ul>' || lis || '</ul></nav>' || note || '<div class="ad">' || box || '</div><article>' || art || '</article><footer>' || foot || '</footer></body></html>' as html from h join w using (doc_id)""")
+def translated_html(spark, d):
+    """The pages with their translated units in place; everything else as it was."""
+    return _translated(spark, d)[0]
+
+
+_DJOINED = rf"""
+lj as (select *, lag(text) over (partition by doc_id order by block_no) as prev from blocks),
+lk as (select *, case when prev is not null and not regexp_matches(text, '^(#|!\[)') and not regexp_matches(prev, '^(#|!\[)') and right(prev, 1) not in ('.', '!', '?', '…', ':', ';', '"', '''', '»', ')', '*')
+ and regexp_matches(text, '^\p{{Ll}}') then 0 else 1 end as new from lj),
+li as (select *, sum(new) over (partition by doc_id order by block_no) as island from lk),
+le as (select *, case when right(text, 1) = '-' and lead(new) over (partition by doc_id order by block_no) = 0 then left(text, -1 + length(text)) when lead(new) over (partition by doc_id order by block_no) = 0 then text || ' ' else text end as piece from li),
+lm as (select doc_id, island, string_agg(piece, '' order by block_no) as text from le group by doc_id, island)"""
 
 
-@query()
+@query(rf"""with src as (select doc_id, text from documents), {_DLINES}, {_DJOINED}
+select doc_id, '---' || {NL} || 'title: "Document ' || doc_id || '"' || {NL} || 'author: "' || any_value(source) || '"' || {NL} || 'lang: "' || any_value(lang) || '"' || {NL} || '---' || {NL} || {NL} || string_agg(lm.text, {NL} || {NL} order by island) as text
+from lm join documents using (doc_id) group by doc_id""")
 def convert_documents(spark, d):
     docs = _docs(spark, d, r"replace(text, '\n', '\n\n')")
     meta = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("author"), F.col("lang").alias("language"))
