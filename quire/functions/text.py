@@ -8,6 +8,7 @@ in the JVM.  White space, letters and case follow Unicode where plain ``trim``,
 from __future__ import annotations
 
 WS = r"(?U)[\s\x1c-\x1f]"
+# Fixed value: what stands for inline markup.
 PLACEHOLDER = r"\[\[(/?)(\d+)(/?)\]\]"
 
 # English names of language codes.
@@ -19,6 +20,11 @@ LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CYRILLIC = "абцдефгхийклмнопярстувщчюзАБЦДЕФГХИЙКЛМНОПЯРСТУВЩЧЮЗ"
 
 
+def let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is made once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def strip(s: str) -> str:
     """Without white space at both ends."""
     return rf"regexp_replace({s}, r'^{WS}+|{WS}+$', '')"
@@ -51,7 +57,7 @@ def cyrillic_letters(s: str) -> str:
 
 
 def cyrillic_ratio(s: str) -> str:
-    return f"coalesce(try_divide({cyrillic_letters(s)}, {letters(s)}), 0D)"
+    return let("cs", s, f"coalesce(try_divide({cyrillic_letters('cs')}, {letters('cs')}), 0D)")
 
 
 def single_line(s: str) -> str:
@@ -107,18 +113,15 @@ def folded(s: str) -> str:
 
 def is_echo(source: str, candidate: str, min_words: int = 8) -> str:
     """Whether a candidate of some length is its source."""
-    return f"(size(filter(split({folded(source)}, ' '), w -> w <> '')) >= {min_words} and {folded(source)} = {folded(candidate)})"
+    same = let("ef", folded(source), f"ef = {folded(candidate)} and size(filter(split(ef, ' '), w -> w <> '')) >= {min_words}")
+    return f"({same})"
 
 
 def looks_untranslated(s: str, min_words: int = 8) -> str:
-    """Whether text that should be Cyrillic is not: long enough, or short and nearly free of Cyrillic."""
-    t = without_placeholders(s)
-    words, n, share = word_count(t), letters(t), cyrillic_ratio(t)
-    other = f"(1D - {share})"
-    return (
-        f"({n} > 0 and {share} < 0.5D and (({words} >= {min_words} and {n} >= 24) or ({other} >= 0.9D and {words} >= 4 and {n} >= 12)"
-        f" or ({other} >= 0.9D and {words} >= 3 and {n} >= 16)))"
-    )
+    """Whether text that should be Cyrillic is not: long enough, or short and nearly free of Cyrillic.  Its words are counted only where its letters leave that open."""
+    words = let("uw", word_count("ut"), f"(uw >= {min_words} and un >= 24) or (1D - us >= 0.9D and ((uw >= 4 and un >= 12) or (uw >= 3 and un >= 16)))")
+    share = let("us", f"coalesce(try_divide({cyrillic_letters('ut')}, un), 0D)", f"us < 0.5D and ({words})")
+    return let("ut", without_placeholders(s), let("un", letters("ut"), f"un >= 12 and {share}"))
 
 
 def without_labels(s: str) -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lineage import cut
 
-#: HTTP codes after which a call is tried again, and reasons that mean a refusal.
+# HTTP codes after which a call is tried again, and reasons that mean a refusal.
 RETRYABLE = frozenset([429, 500, 502, 503, 504])
 REFUSALS = frozenset(["SAFETY", "RECITATION", "PROHIBITED_CONTENT", "BLOCKLIST", "SPII"])
 
@@ -142,11 +142,14 @@ def answered(rows: DataFrame, transform: Transform, system: str = "", column: st
     return _mapped(rows, work, "answer string, status string", column)
 
 
-def cleaned(chunks: DataFrame, transform: Transform, system: str = "", retry_system: str = "", lo: float = 0.70, hi: float = 1.20) -> DataFrame:
+def cleaned(chunks: DataFrame, transform: Transform, system: str = "", short: str = "", long: str = "", lo: float = 0.70, hi: float = 1.20, store: str | None = None) -> DataFrame:
     """Adds cleaned, status and attempts to chunks (text): image blocks stay, the rest is cleaned with bisection.
 
     An answer whose word count drifts out of [lo, hi] of the input's is asked
-    for once more; statuses are ok, retried, verbatim (in part) and drift.
+    for once more, with the instruction ``short`` or ``long`` by how it drifted;
+    statuses are ok, retried, verbatim (in part) and drift.  With a ``store``
+    folder what didn't drift is kept under a hash of instruction, transform and
+    text, so a rerun pays for what is missing, and equal texts are asked for once.
     """
     import re
 
@@ -178,13 +181,30 @@ def cleaned(chunks: DataFrame, transform: Transform, system: str = "", retry_sys
     def work(text):
         if text is None:
             return None, "ok", 0
-        for attempt, asked in enumerate((system, retry_system or system), 1):
+        asked = system
+        for attempt in (1, 2):
             made, verbatim, ratio = once(text, asked)
             if ratio is None or lo <= ratio <= hi:
                 return made, "verbatim" if verbatim else "ok" if attempt == 1 else "retried", attempt
+            asked = (short if ratio < lo else long) or system
         return made, "drift", 2
 
-    return _mapped(chunks, work, "cleaned string, status string, attempts int", "text")
+    added = "cleaned string, status string, attempts int"
+    if store is None:
+        return _mapped(chunks, work, added, "text")
+    from . import checkpoints
+
+    keys = ["chunk_key", "source_fp"]
+    keyed = checkpoints.with_key(chunks, transform.ident, system, "text").withColumn("source_fp", F.expr(T.fingerprint("text")))
+    asked = keyed.where("text is not null").select(*keys, "text").dropDuplicates(keys)
+    # The status goes before the text, on a line of its own.
+    kept = checkpoints.newest(checkpoints.read(chunks.sparkSession, store).where("stage = 'clean'")).select(*keys, F.expr("substring_index(text, '\n', 1)").alias("status"), F.expr("substring(text, instr(text, '\n') + 1)").alias("cleaned"))
+    kept = cut(kept.join(asked.select(*keys), keys, "left_semi")).withColumn("attempts", F.lit(0))
+    made = cut(_mapped(asked.join(kept, keys, "left_anti"), work, added, "text").drop("text"))
+    done = made.where("status <> 'drift'").select("chunk_key", F.lit(0).alias("unit_no"), F.concat_ws("\n", "status", "cleaned").alias("text"), "source_fp")
+    checkpoints.write(done, store, "clean")
+    have = kept.unionByName(made)
+    return keyed.join(have, keys, "left").drop(*keys).select(*chunks.columns, "cleaned", F.coalesce("status", F.lit("ok")).alias("status"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
 def strict(rows: DataFrame) -> DataFrame:

@@ -480,12 +480,13 @@ def overlay(spark, d):
     return checkpoints.overlaid(with_pre, results).select("doc_id", "unit_no", "final")
 
 
-@query("""with e as (select conv_id, turn, text, substring(sha1(text), 1, 16) as fp, case turn % 4 when 0 then null when 1 then substring(sha1(text), 1, 16) when 2 then 'x' end as efp, turn % 4 < 3 as has from conversations)
-select conv_id % 5 as book, count_if(not has)::bigint as missing, count_if(has and efp is not null and efp <> fp)::bigint as mismatched, count_if(has and efp is null)::bigint as legacy from e group by 1""")
+@query(f"""with e as (select conv_id, turn, text, case when turn % 3 = 0 then text else {_dpseudo('text')} end as shown, substring(sha1(text), 1, 16) as fp, case turn % 4 when 0 then null when 1 then substring(sha1(text), 1, 16) when 2 then 'x' end as efp, turn % 4 < 3 as has from conversations)
+select conv_id % 5 as book, count_if({_duntranslated('shown')})::bigint as leftover, count_if(not has)::bigint as missing, count_if(has and efp is not null and efp <> fp)::bigint as mismatched, count_if(has and efp is null)::bigint as legacy from e group by 1""")
 def fingerprint_guard(spark, d):
     rows = _t(spark, d, "conversations").select(F.expr("conv_id % 5").alias("book"), F.expr(T.fingerprint("text")).alias("source_fp"), F.expr("case when turn % 4 < 3 then text end").alias("entry"),
-        F.expr(f"case turn % 4 when 1 then {T.fingerprint('text')} when 2 then 'x' end").alias("entry_fp"), F.lit(False).alias("leftover"))
-    return report.plan_health(rows, "book").drop("leftover")
+        F.expr(f"case turn % 4 when 1 then {T.fingerprint('text')} when 2 then 'x' end").alias("entry_fp"),
+        F.expr(T.looks_untranslated(f"if(turn % 3 = 0, text, {T.pseudo_translated('text')})")).alias("leftover"))
+    return report.plan_health(rows, "book")
 
 
 @query("""with m as (select doc_id, coalesce(nullif(trim(case when doc_id % 2 = 0 then '  T ' || doc_id end), ''), 'stem' || doc_id) as title, case when doc_id % 3 = 0 then source else 'Unknown' end as author, case when doc_id % 5 = 0 then 'xx' when doc_id % 2 = 0 then lang else 'en' end as language from documents)

@@ -7,14 +7,19 @@ Cyrillic ones, refusals by a word part, JSON made from the text's length.
 from __future__ import annotations
 
 import json
+import uuid
+from dataclasses import replace
 from html import escape
 
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import batches, checkpoints, gates, report, stage, units, wire
+from ..functions.lineage import shared_folder, stored
+from ..operators import batches, checkpoints, gates, pack, report, stage, units, wire
 from ..sources import epub, markdown
+from . import packages
 from .catalog import _DACCEPT, _DTAIL, NL, _dpack, _dpseudo, _ds, _dw, _docs, _t, _turns, query
 
 PSEUDO = stage.Transform("pseudo-1", stage.pseudo, delay=0)
@@ -56,6 +61,50 @@ def metadata_answers(spark, d):
     return stage.metadata(_docs(spark, d), stage.Transform("length", _answer, delay=0)).select("doc_id", "title", "author", "language")
 
 
+@query(rf"""with p as (select doc_id, list_filter(string_split(text, {NL}), lambda x: {_ds('x')} <> '') as ps from documents)
+select doc_id, array_to_string(list_transform(ps, lambda x: {_dpseudo('x')}), {NL} || {NL}) as cleaned, 'ok' as status, 0 as attempts from p""")
+def resumed_cleaning(spark, d):
+    """A second run over a store asks for nothing: its model would refuse."""
+    docs = _docs(spark, d, r"replace(text, '\n', '\n\n')")
+    store = f"{shared_folder(spark)}/cleaned-{uuid.uuid4().hex}"
+    stage.cleaned(docs, PSEUDO, store=store).write.format("noop").mode("overwrite").save()
+    return stage.cleaned(docs, replace(PSEUDO, fn=_refused), store=store).select("doc_id", "cleaned", "status", "attempts")
+
+
+def _refused(system: str, text: str) -> str:
+    raise stage.Blocked()
+
+
+def _fallback(system: str, text: str) -> str:
+    if "ing" in text:
+        raise stage.Empty()
+    return text.upper()
+
+
+@query(f"select conv_id, turn, case when not contains(text, 'tion') then {_dpseudo('text')} when not contains(text, 'ing') then upper(text) end as answer, case when not contains(text, 'tion') then 'ok' when not contains(text, 'ing') then 'fallback' else 'failed' end as status from conversations")
+def retry_ladder(spark, d):
+    """What the first model refuses goes to the second one, with all its tries."""
+    second = stage.Transform("upper", _fallback, retries=1, delay=0)
+    first = stage.Transform("refusing", _refusing, retries=1, delay=0, fallback=second)
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    return stage.answered(rows, first).select("conv_id", "turn", "answer", "status")
+
+
+_STALE = _DACCEPT.replace("candidate", "stale")
+
+
+@query(rf"""with c as (select conv_id, turn, text as source, regexp_replace(text, '^\n+|\n+$', '', 'g') as stale, regexp_replace({_dpseudo('text')}, '^\n+|\n+$', '', 'g') as candidate from conversations),
+f as (select *, {_STALE} as was, {_DACCEPT} as failed from c)
+select conv_id as doc_id, turn as unit_no, case when was is null then stale when failed is null then candidate else source end as final, case when was is null then 'ok' when failed is null then 'retried' else 'verbatim' end as status from f""")
+def kept_answers(spark, d):
+    """Answers kept from a run that returned texts as they were: those that fail the gates are asked for again, alone."""
+    rows = _turns(spark, d).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit_no"), "n_words", "text", F.col("text").alias("source"))
+    store, gate = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}", gates.translation_gate(target="'bg'")
+    chunks = wire.render(pack.with_tail_merged(pack.packed(rows, 60, order="unit_no"), 60).withColumn("no", F.row_number().over(Window.partitionBy("doc_id", "chunk_no").orderBy("unit_no"))), ["doc_id", "chunk_no"], "no")
+    batches.remembered(chunks, replace(PSEUDO, fn=stage.identity), "", "payload", store, "units").write.format("noop").mode("overwrite").save()
+    return batches.in_chunks(rows, PSEUDO, gate, target=60, store=store).select("doc_id", "unit_no", "final", "status")
+
+
 # ---- checkpoints ----
 @query("select conv_id::varchar as chunk_key, turn::int as unit_no, text, case when conv_id % 2 = 0 then substring(sha1(text), 1, 16) end as source_fp from conversations where text is not null")
 def checkpoint_import(spark, d):
@@ -110,15 +159,64 @@ def _books(batches_):
 select doc_id::varchar as book_id, pos, count(*)::bigint as units, sum({_dw('t')})::bigint as n_words from x where {_ds('t')} <> '' group by 1, 2""")
 def package_units(spark, d):
     """Documents compiled to packages, unpacked, and read in order of the spine."""
-    books = _docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), "text").mapInArrow(_books, "book_id string, content binary")
-    found = epub.entries(books)
+    found = stored(epub.entries(_compiled(spark, d)))
     spine = epub.spine_documents(epub.packages(found), found)
     docs = found.join(spine, ["book_id", "name"]).select(F.xxhash64("book_id", "name").alias("doc_id"), "book_id", "pos", F.col("content").cast("string").alias("html"))
     by = units.units(docs.select("doc_id", "html")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.sum("n_words").alias("n_words"))
     return docs.select("doc_id", "book_id", "pos").join(by, "doc_id").select("book_id", "pos", "units", "n_words")
 
 
+def _compiled(spark, d):
+    return stored(_docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), "text").mapInArrow(_books, "book_id string, content binary"))
+
+
+_DPAGE = """$$<?xml version='1.0' encoding='UTF-8'?>$$ || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>' || {t} || '</title></head><body>' || {b} || '</body></html>'"""
+
+
+@query(f"""with l as (select doc_id, unnest(list_zip(range(0, len(string_split(text, {NL}))), string_split(text, {NL}))) as z from documents), x as (select doc_id, z[1] as i, z[2] as t from l), k as (select doc_id, k from documents, (values (0), (1)) v(k)),
+c as (select k.doc_id, k.k, coalesce(string_agg('<p>' || replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), $$'$$, '&#x27;') || '</p>', '' order by i), '') as b from k left join x on x.doc_id = k.doc_id and x.i % 2 = k.k group by 1, 2)
+select doc_id::varchar as book_id, printf('OPS/ch%04d.xhtml', k + 1) as name, {_DPAGE.format(t="'Part ' || k", b='b')} as text from c""")
+def package_repack(spark, d):
+    """Packages unpacked, packed again and unpacked: every chapter is what it was."""
+    again = epub.entries(epub.repacked(epub.entries(_compiled(spark, d))))
+    return again.where("name like 'OPS/ch%'").select("book_id", "name", F.col("content").cast("string").alias("text"))
+
+
+@query("select doc_id::varchar as book_id, 'OPS/nav.xhtml' as name from documents")
+def package_navigation(spark, d):
+    found = epub.entries(_compiled(spark, d))
+    return epub.nav_documents(epub.packages(found), found)
+
+
+@query(f"select doc_id::varchar as book_id, k::int as label_no, 'Part ' || (k - 1) as text, {_dpseudo("'Part ' || (k - 1)")} as final from documents, (values (1), (2)) v(k)")
+def navigation_labels(spark, d):
+    """The labels of a package's navigation, in one call per document."""
+    found = epub.entries(_compiled(spark, d))
+    docs = packages._documents(found, epub.nav_documents(epub.packages(found), found))
+    labels = packages.translated_labels(docs.select("doc_id", "html"), PSEUDO, gates.label_gate(target="'bg'"))
+    return docs.select("doc_id", "book_id").join(labels, "doc_id").select("book_id", "label_no", "text", "final")
+
+
+@query("select doc_id::varchar as book_id, 'T (BG)' as title, 'bg' as language, 1 as languages from documents")
+def package_metadata(spark, d):
+    found = packages._with_metadata(epub.entries(_compiled(spark, d)), "bg", "(BG)").withColumn("x", F.col("content").cast("string"))
+    return found.select("book_id", F.regexp_extract("x", "<dc:title>([^<]*)<", 1).alias("title"), F.regexp_extract("x", "<dc:language>([^<]*)<", 1).alias("language"), F.expr("size(regexp_extract_all(x, '<dc:language>', 0))").alias("languages"))
+
+
 # ---- reports ----
+@query("""with s as (select conv_id, turn, case turn % 7 when 0 then 'ok' when 1 then 'retried' when 2 then 'fallback' when 3 then 'verbatim' when 4 then 'blocked' when 5 then 'repaired' else 'cached' end as status from conversations)
+select conv_id % 10 as book, count(*)::bigint as units, count_if(status = 'ok')::bigint as ok, count_if(status = 'retried')::bigint as retried, count_if(status = 'fallback')::bigint as fallback, count_if(status = 'verbatim')::bigint as verbatim,
+ count_if(status = 'blocked')::bigint as blocked, count_if(status = 'repaired')::bigint as repaired, count_if(status = 'cached')::bigint as cached from s group by 1""")
+def translation_report(spark, d):
+    status = "case turn % 7 when 0 then 'ok' when 1 then 'retried' when 2 then 'fallback' when 3 then 'verbatim' when 4 then 'blocked' when 5 then 'repaired' else 'cached' end"
+    return report.translation(_t(spark, d, "conversations").select(F.expr("conv_id % 10").alias("book"), F.expr(status).alias("status")), "book")
+
+
+@query("select conv_id % 10 as book, case when turn % 3 = 0 then 'ok' else 'retried' end as status, count(*)::bigint as n from conversations group by 1, 2")
+def status_counts(spark, d):
+    return report.by_status(_t(spark, d, "conversations").select(F.expr("conv_id % 10").alias("book"), F.expr("if(turn % 3 = 0, 'ok', 'retried')").alias("status")), "book")
+
+
 _RUN = "select conv_id as doc_id, turn as chunk_no, turn as unit_no, text, text as pre, case when turn % 3 = 0 and conv_id % 4 = 1 then 'new ' || text else text end as final, turn % 2 = 0 as was_untranslated, case turn % 5 when 0 then 'retried' when 1 then 'verbatim' else 'ok' end as status from conversations"
 
 

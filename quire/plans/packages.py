@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.lineage import cut
-from ..operators import checkpoints, gates, stage, units
+from ..functions.lineage import cut, stored
+from ..operators import batches, checkpoints, gates, units, wire
 from ..operators.stage import Transform
 from ..sources import epub
 from . import pipelines, prompts
@@ -30,18 +30,26 @@ def _written(docs: DataFrame) -> DataFrame:
     return docs.select("book_id", "name", F.concat(head, "html").cast("binary").alias("content"))
 
 
-def translated_labels(docs: DataFrame, transform: Transform, gate: Column, only: Column | None = None) -> DataFrame:
-    """(doc_id, label_no, text, final) of the navigation labels of docs (doc_id, html); ``only`` picks labels to ask for."""
-    labels = units.nav_labels(docs)
+def translated_labels(docs: DataFrame, transform: Transform, gate: Column, only: Column | None = None, system: str = "", store: str | None = None) -> DataFrame:
+    """(doc_id, label_no, text, final) of the navigation labels of docs (doc_id, html); ``only`` picks labels to ask for.
+
+    The labels of a document are one numbered payload and one call.  With a
+    ``store`` a rerun has the answers, and judges each label by today's gate.
+    """
+    labels = cut(units.nav_labels(docs))
     work = labels.where(only) if only is not None else labels
-    done = stage.answered(work, transform).withColumnsRenamed({"answer": "candidate"}).withColumn("source", F.col("text"))
-    done = cut(done.withColumn("failed", gate)).where("failed is null").select("doc_id", "label_no", F.col("candidate").alias("__new"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("label_no"))
+    work = work.withColumn("__no", place).withColumn("source", F.col("text"))
+    said = batches.remembered(wire.render(work, "doc_id", "__no"), transform, system, "payload", store, "navigation")
+    said = said.where("answer is not null").select("doc_id", F.col("answer").alias("payload"), "expected")
+    parsed = wire.parse(said, "doc_id").select("doc_id", F.col("unit_no").alias("__no"), F.expr(T.strip("text")).alias("candidate"))
+    done = cut(work.join(parsed, ["doc_id", "__no"]).withColumn("failed", gate)).where("failed is null").select("doc_id", "label_no", F.col("candidate").alias("__new"))
     return labels.join(done, ["doc_id", "label_no"], "left").select("doc_id", "label_no", "text", F.coalesce("__new", "text").alias("final"))
 
 
-def polished_labels(docs: DataFrame, transform: Transform) -> DataFrame:
+def polished_labels(docs: DataFrame, transform: Transform, store: str | None = None) -> DataFrame:
     """The same for labels that are still untranslated."""
-    return translated_labels(docs, transform, gates.polished_label_gate(), F.expr(T.looks_untranslated("text")))
+    return translated_labels(docs, transform, gates.polished_label_gate(), F.expr(T.looks_untranslated("text")), prompts.POLISH, store)
 
 
 def _relabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -68,7 +76,7 @@ def _with_metadata(found: DataFrame, language: str, suffix: str | None) -> DataF
 
 def _parts(books: DataFrame, name_contains: str | None):
     """(entries, documents with their place in the book, navigation documents) of packages (book_id, content)."""
-    found = epub.entries(books)
+    found = stored(epub.entries(books))  # read for spine, navigation, documents and the rest
     package = cut(epub.packages(found))
     nav = epub.nav_documents(package, found)
     spine = epub.spine_documents(package, found).join(nav, ["book_id", "name"], "left_anti")
@@ -100,7 +108,7 @@ def translate(
     system = prompts.system(prompts.TRANSLATE, language, glossary)
     new, results = pipelines.translate(docs.select("doc_id", "html"), asked, language, system=system, words=words, max_chunks=max_chunks, store=store)
     touched = results.where("final <> text").select("doc_id").distinct()
-    labels = translated_labels(navs.select("doc_id", "html"), asked, gates.label_gate(target=f"'{language}'"))
+    labels = translated_labels(navs.select("doc_id", "html"), asked, gates.label_gate(target=f"'{language}'"), system=system, store=store)
     return _put_together(found, docs, new.join(touched, "doc_id", "left_semi"), navs, labels, language, suffix)
 
 
@@ -143,5 +151,5 @@ def polish(
     results = cut(pipelines.polish(best, transform, untranslated_only, show_source, system, words, "book_id", "pos", max_chunks, store))
     changes = results.where("final <> shown").select("doc_id", "unit_no", F.col("final").alias("text"))
     new = units.rewritten(docs.join(changes.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "html"), changes)
-    labels = polished_labels(navs.select("doc_id", "html"), transform)
+    labels = polished_labels(navs.select("doc_id", "html"), transform, store)
     return _put_together(found, docs, new, navs, labels, "bg", suffix), results

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lineage import cut
 from ..operators import blocks as B
 from ..operators import batches, gates, pack, stage, units, wire
 from ..operators.stage import Transform
 from ..sources import markdown
+from . import prompts
 
 CLEAN_WORDS, TRANSLATE_WORDS, POLISH_WORDS, TAIL = 2000, 1500, 1000, 0.3
 
@@ -23,13 +25,26 @@ def planned(docs: DataFrame, target: int = CLEAN_WORDS, keep_contents: bool = Fa
     return pack.chunk_texts(pack.packed(B.merged_paragraphs(found), target))
 
 
-def convert(docs: DataFrame, transform: Transform, meta: DataFrame, hosts: DataFrame | None = None, target: int = CLEAN_WORDS, max_chunks: int | None = None) -> DataFrame:
-    """(doc_id, text): documents repaired, cleaned by a model in chunks, and put together."""
+def convert(
+    docs: DataFrame, transform: Transform, meta: DataFrame, hosts: DataFrame | None = None, target: int = CLEAN_WORDS, max_chunks: int | None = None,
+    store: str | None = None, describe: Transform | None = None,
+) -> DataFrame:
+    """(doc_id, text): documents repaired, cleaned by a model in chunks, and put together.
+
+    ``store``: a folder of cleaned chunks, with which a rerun resumes.  A chunk
+    that drifted twice fails the job.  ``meta`` is what is known of title, author and language; with
+    ``describe`` a model reads the rest from a document's first chunk.
+    """
     chunks = planned(docs, target)
     if max_chunks is not None:
         chunks = pack.first_chunks(chunks, max_chunks)
-    done = stage.cleaned(chunks, transform)
-    return markdown.finalized(done.select("doc_id", "chunk_no", F.col("cleaned").alias("text")), meta, hosts)
+    done = stage.cleaned(chunks, transform, prompts.CLEAN, prompts.CLEAN_SHORT, prompts.CLEAN_LONG, store=store)
+    done = stage.strict(done).select("doc_id", "chunk_no", F.col("cleaned").alias("text"), "status")
+    if describe is not None:
+        done = cut(done)
+        found = stage.metadata(done.where("chunk_no = 1"), describe, prompts.METADATA)
+        meta = cut(markdown.with_metadata(docs.select("doc_id").distinct(), meta, found))
+    return markdown.finalized(done, meta, hosts)
 
 
 def translate(

@@ -8,7 +8,8 @@ CLEAN = (
     "You get part of a book that was read from a printed page layout. Give the same text back as clean Markdown. Keep every word and its order; do not add, "
     "shorten or explain. Join words and lines that the page broke, drop running heads and page numbers, keep headings, emphasis, lists and image references. Answer with the Markdown only."
 )
-CLEAN_AGAIN = CLEAN + " Your last answer was much shorter or longer than the text. Give all of it, once."
+CLEAN_SHORT = CLEAN + " An earlier answer left parts of the text out or summed them up: give all of it, word for word; only what belongs to the page's layout goes."
+CLEAN_LONG = CLEAN + " An earlier answer had more than the text, or had parts of it twice: give what is there once, word for word; only what belongs to the page's layout goes."
 METADATA = "Read the start of a book. Answer with one JSON object with title, author, language (a tag such as en or pt-BR) and language_name; use null where the text does not say."
 TRANSLATE = (
     "Translate the numbered units of a book into {language}, faithfully and as literature. Each unit starts with a line <<<n>>>; answer with the same units under the same numbers. "

@@ -10,6 +10,9 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.lineage import cut
 
 
 def pages(files: DataFrame, reader: Callable[[bytes], list[str]]) -> DataFrame:
@@ -23,3 +26,26 @@ def pages(files: DataFrame, reader: Callable[[bytes], list[str]]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["book_id", "page", "text"])
 
     return files.selectExpr("cast(book_id as string) as book_id", "content").mapInArrow(run, "book_id string, page int, text string")
+
+
+def extracted(files: DataFrame, reader: Callable[[bytes], list[str]], store: str) -> DataFrame:
+    """``pages`` with a store: files (book_id, content) whose bytes were read before are not read again.
+
+    The store is a folder of Parquet with the pages by hash of the content; a
+    file without pages has one row without a number, so that it counts as read.
+    """
+    spark = files.sparkSession
+    schema = "content_hash string, page int, text string"
+    try:
+        kept = spark.read.schema(schema).parquet(store)
+    except Exception as e:  # nothing has been read yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        kept = spark.createDataFrame([], schema)
+    keyed = files.select("book_id", F.sha2("content", 256).alias("content_hash"), "content")
+    todo = keyed.join(kept.select("content_hash").distinct(), "content_hash", "left_anti").dropDuplicates(["content_hash"])
+    made = pages(todo.select(F.col("content_hash").alias("book_id"), "content"), reader).withColumnRenamed("book_id", "content_hash")
+    made = todo.select("content_hash").join(made, "content_hash", "left")
+    cut(made).write.mode("append").parquet(store)
+    have = spark.read.schema(schema).parquet(store).where("page is not null")
+    return keyed.select("book_id", "content_hash").join(have, "content_hash").select("book_id", "page", "text")

@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import batches, checkpoints, figures, gates, report, stage, units, wire
+from quire.operators import batches, checkpoints, clients, figures, gates, report, stage, units, wire
 from quire.plans import pipelines
 from quire.sources import epub, markdown
 from quire.streaming import resumable
@@ -257,3 +257,155 @@ def test_markdown(spark, tmp_path):
     (tmp_path / "h.json").write_text("{}")
     with pytest.raises(ValueError, match="no terms"):
         markdown.glossary(spark, str(tmp_path / "h.json"))
+
+
+XHTML = """<?xml version='1.0' encoding='UTF-8'?>
+<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.1//EN" "http://www.w3.org/TR/xhtml11/DTD/xhtml11.dtd">
+<!-- top -->
+<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>T</title><style>a &gt; b { x: "1" }</style><script><![CDATA[ if (a < b && c) {} ]]></script></head>
+<body epub:type="bodymatter"><svg viewBox="0 0 1 1"><linearGradient id="g"/></svg><!-- c --><p>One <i class="x">two</i> &amp; <br/>three</p><p>Keep <b></b> me</p></body></html>
+<!-- end -->
+"""
+
+
+def test_documents_are_written_as_they_were_read():
+    assert units.applied(XHTML, {}) == XHTML
+    new = units.applied(XHTML, {1: "[[1]]Deux[[/1]] < un [[2/]]"})
+    assert new == XHTML.replace('One <i class="x">two</i> &amp; <br/>three', '<i class="x">Deux</i> &lt; un <br/>')
+    named = '<!DOCTYPE html><html><body><p>caf&eacute;&nbsp;x &unknown; y</p></body></html>'
+    assert units.units_of(named)[0][1] == "caf\u00e9\u00a0x  y" and units.applied(named, {}) == named.replace("&eacute;", "\u00e9").replace("&nbsp;", "\u00a0")
+
+
+def test_documents_that_are_no_xml_keep_names_and_raw_text():
+    html = '<!DOCTYPE html><html><head><style>a > b &gt; c</style></head><body><svg viewBox="0"><linearGradient></linearGradient></svg><!-- c --><p>One <b>bold<p>Two <br> three</body></html>'
+    assert units.applied(html, {2: "Deux [[1/]] trois"}) == '<!DOCTYPE html><html><head><style>a > b &gt; c</style></head><body><svg viewBox="0"><linearGradient/></svg><!-- c --><p>One <b>bold</b></p><p>Deux <br/> trois</p></body></html>'
+    assert len(units.units_of("<div>" * 30_000 + "x")) == 1 and units.applied("<b>" * 20_000 + "x" + "</p>" * 9, {}).count("<b>") == 20_000
+
+
+def test_labels_of_any_kind():
+    nav = "<nav><ol><li><a href='1'><span>Chapter</span>  <em>One</em></a></li><li><text> Two <a>in it</a></text></li><li><a> </a></li></ol></nav>"
+    assert [t for _, t in units._labels(units.tree(nav))] == ["Chapter  One", "Two in it", "in it"]
+    assert units.with_labels(nav, {1: "A", 3: "B"}).count("<em>") == 0 and "<a>B</a>" in units.with_labels(nav, {3: "B"})
+
+
+def test_cleaning_resumes_and_says_how_it_drifted(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def model(system, text):
+        (seen / str(len(list(seen.iterdir())))).write_text(system)
+        if "half" in text:
+            return "half" if system != "SHORT" else text
+        return text + " more" * 99 if "long" in text else text
+
+    docs = spark.createDataFrame([(1, "half of this text goes away at first"), (2, "fine"), (3, "a long one always drifts"), (4, "fine"), (5, None)], "doc_id bigint, text string").coalesce(1)
+    ask = stage.Transform("m", model, delay=0)
+    for attempts in ({1: 2, 2: 1, 3: 2, 4: 1, 5: 0}, {1: 0, 2: 0, 3: 2, 4: 0, 5: 0}):
+        got = {r.doc_id: r for r in stage.cleaned(docs, ask, "CLEAN", "SHORT", "LONG", store=str(tmp_path / "store")).collect()}
+        assert {k: r.attempts for k, r in got.items()} == attempts
+        assert (got[1].status, got[1].cleaned, got[3].status, got[2].status, got[5].cleaned) == ("retried", "half of this text goes away at first", "drift", "ok", None)
+    asked = [p.read_text() for p in seen.iterdir()]
+    assert asked.count("SHORT") == 1 and asked.count("LONG") == 2 and asked.count("CLEAN") == 3 + 1
+    with pytest.raises(Exception, match="drifted"):
+        stage.strict(stage.cleaned(docs, ask, store=str(tmp_path / "store"))).collect()
+
+
+def described(system, text):
+    return '{"title": "From the text", "language": "de"}' if system else ""
+
+
+def test_convert_reads_metadata(spark):
+    docs = spark.createDataFrame([(1, "Some text."), (2, "Other text.")], "doc_id bigint, text string")
+    known = spark.createDataFrame([(1, "Given", None, None)], "doc_id bigint, title string, author string, language string")
+    out = {r.doc_id: r.text for r in pipelines.convert(docs, stage.Transform("id", stage.identity, delay=0), known, describe=stage.Transform("d", described, retries=1, delay=0)).collect()}
+    assert 'title: "Given"' in out[1] and 'lang: "de"' in out[1] and 'author: "Unknown"' in out[1] and 'title: "From the text"' in out[2] and out[2].endswith("Other text.")
+
+
+def test_clients():
+    sent = []
+
+    def answering(answer):
+        def send(url, headers, body):
+            sent.append((url, headers, body))
+            return answer
+
+        return send
+
+    good = {"candidates": [{"finishReason": "STOP", "content": {"parts": [{"text": "thinking", "thought": True}, {"text": "hello"}]}}]}
+    assert clients.generate("m", base="http://x", send=answering(good))("sys", "in") == "hello"
+    assert sent[-1][0] == "http://x/models/m:generateContent" and sent[-1][2]["systemInstruction"]["parts"][0]["text"] == "sys"
+    for bad in ({"promptFeedback": {"blockReason": "OTHER"}}, *({"candidates": [{"finishReason": r}]} for r in stage.REFUSALS)):
+        with pytest.raises(stage.Blocked):
+            clients.generate("m", send=answering(bad))("", "in")
+    for empty in ({}, {"candidates": [{"finishReason": "STOP"}]}):
+        with pytest.raises(stage.Empty):
+            clients.generate("m", send=answering(empty))("", "in")
+    assert clients.chat("m", "http://x/", send=answering({"choices": [{"message": {"content": "hi"}}]}))("", "in") == "hi" and sent[-1][0] == "http://x/chat/completions"
+    with pytest.raises(stage.Blocked):
+        clients.chat("m", "http://x", send=answering({"choices": [{"finish_reason": "content_filter"}]}))("", "in")
+    with pytest.raises(stage.Empty):
+        clients.chat("m", "http://x", send=answering({"choices": []}))("", "in")
+    assert (clients.chatting("m", "http://x").retries, clients.generating("m").max_delay) == (8, 120.0)
+
+
+def test_calls_over_http():
+    import http.server
+    import threading
+
+    codes = [503, 200, 400]
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            code = codes.pop(0)
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": body["messages"][-1]["content"].upper()}}]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    ask = stage.Transform("m", clients.chat("m", base), retries=3, delay=0)
+    assert ask.call("", "abc") == "ABC" and codes == [400]
+    with pytest.raises(Exception, match="400"):
+        ask.call("", "abc")
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(stage.Retryable):
+        clients.chat("m", base)("", "x")
+
+
+def lettered(content):
+    if content == b"none":
+        return []
+    return [c for c in content.decode()]
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    from quire.sources import pdf
+
+    files = spark.createDataFrame([("a", b"xy"), ("b", b"xy"), ("c", b"none")], "book_id string, content binary")
+    want = {("a", 0, "x"), ("a", 1, "y"), ("b", 0, "x"), ("b", 1, "y")}
+    assert {tuple(r) for r in pdf.extracted(files, lettered, str(tmp_path / "s")).collect()} == want
+
+    def failing(content):
+        raise RuntimeError("read again")
+
+    assert {tuple(r) for r in pdf.extracted(files, failing, str(tmp_path / "s")).collect()} == want
+
+
+def drawn(content, page, boxes, prose):
+    if page == 1:
+        raise RuntimeError("no such page")
+    return [f"{content.decode()}:{b[0]}:{len(prose)}".encode() for b in boxes]
+
+
+def test_figures_are_drawn_by_a_plug_in(spark):
+    plan = spark.createDataFrame([("a", p, k, 1.0 * k, 0.0, 9.0, 9.0, f"f{p}{k}") for p in (0, 1) for k in (0, 1)], "book_id string, page int, k int, x0 double, y0 double, x1 double, y1 double, file_name string")
+    texts = spark.createDataFrame([("a", 0, 0, 1.0, 1.0, 2.0, 2.0, "t", "body"), ("a", 0, 0, 1.0, 1.0, 2.0, 2.0, "t", "label")], "book_id string, page int, k int, x0 double, y0 double, x1 double, y1 double, text string, kind string")
+    books = spark.createDataFrame([("a", b"B")], "book_id string, content binary")
+    got = {(r.page, r.k): (r.image and bytes(r.image), r.status) for r in figures.rendered(books, plan, texts, drawn).collect()}
+    assert got[0, 1] == (b"B:1.0:1", "ok") and got[1, 0] == (None, "RuntimeError: no such page") and len(got) == 4
