@@ -50,6 +50,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the mix: sizes and targets."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -61,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_toxicity, op3_chat_formatting, op4_decontamination, op5_warc,
-    op6_simhash, op7_pii, op8_mixing, op9_html_extraction, op10_quality_rules,
+    op6_simhash, op7_pii, op8_mixing, op9_html_extraction, op10_quality_rules, mixing_targets,
 )}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -88,6 +94,13 @@ h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(rang
 t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from m) group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h using (doc_id) left join t using (doc_id)""",
+    "mixing_targets": r"""
+with d as (select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> ''))::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+r as (select *, ([5.0, 2.0, 1.0])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w, 3.0::double * source_size as most from s),
+l as (select a.most / a.w as b, ((select sum(source_size) from r) - coalesce(sum(case when c.most / c.w < a.most / a.w then c.most end), 0)) / sum(case when c.most / c.w >= a.most / a.w then c.w end) as level from r a, r c group by a.source, a.most, a.w),
+t as (select level from l where level <= b order by b limit 1)
+select doc_id, size, source_size, round(least(most, w * level), 6)::double as target from d join r on d.source is not distinct from r.source, t""",
     "op10_quality_rules": rf"""
 with d as (select doc_id, coalesce(text, '') as text, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') as w from documents),
 l as (select *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) as ls from d),

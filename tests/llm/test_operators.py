@@ -26,9 +26,9 @@ def test_ten_queries():
     assert sorted(int(q[2:].split("_")[0]) for q in TEN) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
 
 
-@pytest.mark.parametrize("name", [q for q in TEN if q in __spark_entry__.oracle_sql()])
+@pytest.mark.parametrize("name", ["mixing_targets", *(q for q in TEN if q in __spark_entry__.oracle_sql())])
 def test_sql(spark, duck, sf_dir, name):
-    same_rows(TEN[name](spark, sf_dir), duck.sql(__spark_entry__.oracle_sql()[name]))
+    same_rows(__spark_entry__.queries()[name](spark, sf_dir), duck.sql(__spark_entry__.oracle_sql()[name]))
 
 
 # ---- 1: tokens ----
@@ -259,6 +259,50 @@ def test_warc_files(spark, tmp_path):
     assert sorted(m["title"] for m in meta) == ["", "", "T", "T"] and ["http://h.example/b"] in [m["links"] for m in meta]
 
 
+def test_warc_query_against_brute_force(spark, sf_dir):
+    from base64 import b32encode
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.links, self.skip, self.title, self.in_title = [], [], 0, "", False
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style")
+            self.in_title |= tag == "title"
+            self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+            self.out.append("" if tag in ("a", "b") else "\n")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style")
+            self.in_title &= tag != "title"
+            self.out.append("" if tag in ("a", "b") else "\n")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out.append(data)
+            if self.in_title:
+                self.title += data
+
+    got = {r.page_id: r for r in TEN["op5_warc"](spark, sf_dir).collect()}
+    pages = table(spark, sf_dir, "pages").collect()
+    assert len(got) == len(pages) == len({r.response_id for r in got.values()} | {r.metadata_id for r in got.values()} | {r.conversion_id for r in got.values()}) / 3
+
+    def sha1(data):
+        return "sha1:" + b32encode(hashlib.sha1(data).digest()).decode()
+
+    for p in pages:
+        reader, r = Reader(), got[p.page_id]
+        reader.feed(p.html)
+        reader.close()
+        text = "\n".join(x for x in (" ".join(line.split()) for line in "".join(reader.out).split("\n")) if x)
+        assert (r.text, r.n_chars, r.title, r.n_links, r.url) == (text, len(text), " ".join(reader.title.split()), len(reader.links), p.url)
+        assert r.metadata_refers_to == r.conversion_refers_to == r.response_id and r.payload_digest == sha1(p.html.encode()) and r.conversion_digest == sha1(text.encode())
+        assert all(urljoin(p.url, x).startswith("http") for x in reader.links)
+
+
 def test_damaged_records_are_rows_with_a_status():
     import gzip
 
