@@ -592,7 +592,7 @@ _DEEP = 1_000_000  # calls between Python functions take no stack of the machine
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """One row per page of (page_id, url, host, html): page_id, url, host and the fields of ``read``."""
+    """One row per page of (page_id, url, host, html): page_id, url, host and the fields of ``read``; null html is empty."""
     kinds = {"page": pa.int64(), "own": pa.int64(), "shape": pa.string(), "slots": pa.list_(pa.int32()), "texts": pa.list_(pa.string()), "keys": pa.list_(pa.int32()), "hashes": pa.list_(pa.int64())}
 
     def run(batches):
@@ -641,7 +641,7 @@ def _folded(rows: DataFrame) -> DataFrame:
 
 
 def induced(shapes: DataFrame) -> DataFrame:
-    """(host, wrapper) of distinct (host, shape): merged ``FAN`` at a time, in as many rounds as the host with most shapes needs."""
+    """(host, wrapper) of distinct (host, shape), neither null: merged ``FAN`` at a time, in as many rounds as the host with most shapes needs."""
     most = shapes.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     rows = shapes.select("host", F.xxhash64("shape").alias("part"), "shape")
     width = -(-most // FAN)

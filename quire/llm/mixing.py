@@ -167,7 +167,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED, sh
 def split(blocks: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Shard of every drawn copy of a block: (source, block, copy, shard); ``shards`` is a power of two.
 
-    ``blocks``: source, block and draws.
+    ``blocks``: source (null is one), block and draws, a row per block; null or no
+    draws draw nothing, no blocks give no rows.
     """
     units = blocks.groupBy("source").agg(F.sum("draws").alias("quota"))
     units = units.where("quota > 0").select("source", F.explode(F.sequence(F.lit(1), F.col("quota").cast("int"))).alias("unit"))
@@ -190,7 +191,9 @@ def split(blocks: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
 def sharded(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: the columns of ``docs``, once per copy taken, with mix_copy, mix_shard and mix_order.
 
-    mix_order sorts the rows of a shard; documents that are not taken are left out.
+    mix_order sorts the rows of a shard; documents that are not taken, as those
+    without words, are left out.  Rows that repeat id and text are taken together.
+    An empty table gives no rows; added columns that clash get a final underscore.
     """
     rows = cut(slim(docs, seed))
     _, b = _dealt(rows, weights, cap, shards, seed)

@@ -20,7 +20,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.digests(chat.formatted(chat.events_of(turns.unionByName(chat.sample_conversation(spark)))))
+    return chat.digests(chat.formatted(chat.events_of(turns).unionByName(chat.sample_log(spark))))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

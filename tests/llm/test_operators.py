@@ -938,4 +938,4 @@ def test_pipeline(spark, sf_dir):
         took[r.source] += len(r.text.split())
     for s, t in zip(sorted(sizes), brute_targets([sizes[s] for s in sorted(sizes)]), strict=True):
         assert abs(took[s] - t) <= max(len(rows[i].text.split()) for i in clean if rows[i].source == s)
-    assert hashlib.sha256("".join(sorted(f"{r.doc_id}:{r.mix_copy}:{r.mix_shard}" for r in out)).encode()).hexdigest()
+    assert len({(r.doc_id, r.mix_copy) for r in out}) == len(out) and {r.mix_shard for r in out} <= set(range(mixing.SHARDS))
