@@ -144,8 +144,15 @@ def read_back(text: str):
         at = end + len(END) + 1
 
 
-def digests(parts: DataFrame) -> DataFrame:
-    """Read back from the parts of ``formatted``: what a reader of the output finds, one row per conversation."""
+def digests(parts: DataFrame, ordered: bool = True) -> DataFrame:
+    """Read back from the parts of ``formatted``: what a reader of the output finds, one row per conversation.
+
+    ``ordered``: the parts of a conversation follow each other in one partition,
+    as ``formatted`` gives them; if not, as when they are read from files, they
+    are dealt by conversation and sorted first.
+    """
+    if not ordered:
+        parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches):
         def row(conv, state):

@@ -158,6 +158,15 @@ def test_escapes_are_reversible(seed):
     assert [t for p in parts for t in chat.read_back(p["formatted"])] == turns
 
 
+def test_parts_are_read_back_from_files(spark, sf_dir, tmp_path):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    long = spark.range(300).selectExpr("-1L as conv_id", "id as turn", "'assistant' as role", "concat('m', id) as text")
+    parts = chat.formatted(chat.events_of(turns.unionByName(long)))
+    parts.repartition(7, "part", "messages").write.parquet(str(tmp_path / "p"))
+    back = chat.digests(spark.read.parquet(str(tmp_path / "p")), ordered=False)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, chat.digests(parts).collect()))
+
+
 def test_long_conversation_is_cut_in_parts():
     turns = [("assistant", f"m{i}") for i in range(200)]
     parts = list(chat._parts(1, turns))
