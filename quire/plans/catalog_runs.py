@@ -167,7 +167,7 @@ def package_units(spark, d):
 
 
 def _compiled(spark, d):
-    return stored(_docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), "text").mapInArrow(_books, "book_id string, content binary"))
+    return _docs(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), "text").mapInArrow(_books, "book_id string, content binary")
 
 
 _DPAGE = """$$<?xml version='1.0' encoding='UTF-8'?>$$ || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>' || {t} || '</title></head><body>' || {b} || '</body></html>'"""
@@ -184,14 +184,14 @@ def package_repack(spark, d):
 
 @query("select doc_id::varchar as book_id, 'OPS/nav.xhtml' as name from documents")
 def package_navigation(spark, d):
-    found = epub.entries(_compiled(spark, d))
+    found = stored(epub.entries(_compiled(spark, d)))
     return epub.nav_documents(epub.packages(found), found)
 
 
 @query(f"select doc_id::varchar as book_id, k::int as label_no, 'Part ' || (k - 1) as text, {_dpseudo("'Part ' || (k - 1)")} as final from documents, (values (1), (2)) v(k)")
 def navigation_labels(spark, d):
     """The labels of a package's navigation, in one call per document."""
-    found = epub.entries(_compiled(spark, d))
+    found = stored(epub.entries(_compiled(spark, d)))
     docs = packages._documents(found, epub.nav_documents(epub.packages(found), found))
     labels = packages.translated_labels(docs.select("doc_id", "html"), PSEUDO, gates.label_gate(target="'bg'"))
     return docs.select("doc_id", "book_id").join(labels, "doc_id").select("book_id", "label_no", "text", "final")

@@ -45,17 +45,38 @@ def unpacked(content: bytes) -> dict[str, bytes]:
         return {safe(i.filename): z.read(i) for i in z.infolist() if not i.is_dir()}
 
 
+#: Bytes of packages or entries that are given to Arrow at a time, or one of them.
+PART = 4 << 20
+
+
+def _in_parts(rows, schema: pa.Schema):
+    """Batches of rows (tuples, the last value bytes) of about ``PART`` bytes."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += len(row[-1])
+        if size >= PART:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], f.type) for i, f in enumerate(schema)], schema=schema)
+            part, size = [], 0
+    if part:
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def entries(books: DataFrame) -> DataFrame:
     """Rows of ENTRY of every package; an entry that leads out of its package fails the job."""
+    schema = pa.schema([("book_id", pa.string()), ("name", pa.string()), ("content", pa.binary())])
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                book, content = (batch.column(k)[i].as_py() for k in (0, 1))
-                for name, data in unpacked(content).items():
-                    yield pa.RecordBatch.from_arrays([pa.array([book]), pa.array([name]), pa.array([data], pa.binary())], names=["book_id", "name", "content"])
+        def rows():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    book, content = (batch.column(k)[i].as_py() for k in (0, 1))
+                    for name, data in unpacked(content).items():
+                        yield book, name, data
+
+        return _in_parts(rows(), schema)
 
-    return books.select("book_id", "content").mapInArrow(run, ENTRY)
+    return books.selectExpr("cast(book_id as string) as book_id", "content").mapInArrow(run, ENTRY)
 
 
 def opf_path(container: bytes) -> str:
@@ -162,12 +183,15 @@ def packed(files: dict[str, bytes]) -> bytes:
 def repacked(found: DataFrame) -> DataFrame:
     """(book_id, content): one package per book from its entries; a book's entries meet in one row."""
     by = found.groupBy("book_id").agg(F.collect_list(F.struct("name", "content")).alias("files"))
+    schema = pa.schema([("book_id", pa.string()), ("content", pa.binary())])
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                files = {f["name"]: f["content"] for f in batch.column(1)[i].as_py()}
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([packed(files)], pa.binary())], names=["book_id", "content"])
+        def rows():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield batch.column(0)[i].as_py(), packed({f["name"]: f["content"] for f in batch.column(1)[i].as_py()})
+
+        return _in_parts(rows(), schema)
 
     return by.mapInArrow(run, "book_id string, content binary")
 
