@@ -16,9 +16,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.lineage import shared_folder, stored
+from ..functions.lineage import cut, shared_folder, stored
 from ..operators import batches, checkpoints, gates, pack, report, stage, units, wire
-from ..sources import epub, markdown
+from ..sources import book, epub, markdown
 from . import packages
 from .catalog import _DACCEPT, _DTAIL, NL, _dpack, _dpseudo, _ds, _dw, _docs, _t, _turns, query
 
@@ -182,6 +182,24 @@ def package_repack(spark, d):
     return again.where("name like 'OPS/ch%'").select("book_id", "name", F.col("content").cast("string").alias("text"))
 
 
+_BARE = ("translate(text, '0123456789#*_`[]<>|&\\\\~+-=!>.)', 'abcdefghij')", "translate(text, '0123456789#*_`[]<>|&\\~+-=!>.)', 'abcdefghij')")
+
+
+@query(f"""with s as (select doc_id, {_BARE[1]} as text from documents), x as (select doc_id, unnest(string_split(text, {NL})) as t from s),
+w as (select doc_id, count(*) as n, sum({_dw('t')}) as words from x where {_ds('t')} <> '' group by 1)
+select doc_id::varchar as book_id, pos::int as pos, case when pos = 1 then 3 else 1 + n end::bigint as units, case when pos = 1 then 6 else 2 + words end::bigint as n_words, case when pos = 1 then 'Part one' else 'Part two' end as title
+from (select doc_id, coalesce(n, 0) as n, coalesce(words, 0) as words from documents left join w using (doc_id)), (values (1), (2)) v(pos)""")
+def markdown_packages(spark, d):
+    """Markdown with front matter and two chapters, compiled to packages and read again."""
+    text = rf"concat('---\ntitle: \"T ', doc_id, '\"\nlang: \"de\"\n---\n\n# Part *one* {{#sec-0001}}\n\n- first item\n- **second** [item](x)\n\n## Part two {{#sec-0002}}\n\n', replace({_BARE[0]}, '\n', '\n\n'))"
+    books = book.packages(_docs(spark, d, text))
+    found = stored(epub.entries(books.withColumnRenamed("doc_id", "book_id")))
+    spine = epub.spine_documents(epub.packages(found), found)
+    docs = cut(found.join(spine, ["book_id", "name"]).select(F.xxhash64("book_id", "name").alias("doc_id"), "book_id", "pos", F.col("content").cast("string").alias("html")))
+    by = units.units(docs.select("doc_id", "html")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.sum("n_words").alias("n_words"))
+    return docs.join(by, "doc_id").select("book_id", "pos", "units", "n_words", F.regexp_extract("html", "<title>([^<]*)<", 1).alias("title"))
+
+
 @query("select doc_id::varchar as book_id, 'OPS/nav.xhtml' as name from documents")
 def package_navigation(spark, d):
     found = stored(epub.entries(_compiled(spark, d)))

@@ -196,21 +196,57 @@ def repacked(found: DataFrame) -> DataFrame:
     return by.mapInArrow(run, "book_id string, content binary")
 
 
-def compiled(title: str, author: str, language: str, chapters: list[tuple[str, str]]) -> bytes:
-    """A minimal package of (heading, xhtml body) chapters with a table of contents."""
+_PICTURES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp"}
+
+
+def _nested(contents: list[tuple[int, str, str]]) -> str:
+    """A nested list of (level, label as markup, href) in order; a deeper level goes into the entry before it."""
+    out, levels = [], []
+    for level, label, href in contents:
+        if levels and level > levels[-1]:
+            out.append("<ol>")
+            levels.append(level)
+        elif not levels:
+            levels.append(level)
+        else:
+            out.append("</li>")
+            while len(levels) > 1 and level < levels[-1] and level <= levels[-2]:
+                out.append("</ol></li>")
+                levels.pop()
+        out.append(f'<li><a href="{href}">{label}</a>')
+    out += ["</li></ol>"] * (len(levels) - 1)
+    return "".join(out) + ("</li>" if levels else "")
+
+
+def compiled(
+    title: str, author: str, language: str, chapters: list[tuple[str, str]], contents: list[tuple[int, str, int, str]] | None = None, images: dict[str, bytes] | None = None, marked_up: bool = False,
+) -> bytes:
+    """A package of (heading, xhtml body) chapters with a table of contents.
+
+    ``contents``: (level, label, chapter from 1, id), by default the chapters'
+    headings; ``images``: pictures by their path; ``marked_up``: headings and
+    labels have their character references.
+    """
     from html import escape
 
+    shown = (lambda x: x) if marked_up else escape
     page = '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{}</title></head><body>{}</body></html>'
     files = {"mimetype": b"application/epub+zip"}
     files[CONTAINER] = b'<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
-    items, refs, nav = [], [], []
-    for n, (heading, body) in enumerate(chapters, 1):
-        name = f"ch{n:04d}.xhtml"
-        files[f"OPS/{name}"] = document(page.format(escape(heading), body))
+    items, refs = [], []
+    names = [f"ch{n:04d}.xhtml" for n in range(1, len(chapters) + 1)]
+    for n, (name, (heading, body)) in enumerate(zip(names, chapters, strict=True), 1):
+        files[f"OPS/{name}"] = document(page.format(shown(heading), body))
         items.append(f'<item id="c{n}" href="{name}" media-type="application/xhtml+xml"/>')
         refs.append(f'<itemref idref="c{n}"/>')
-        nav.append(f'<li><a href="{name}">{escape(heading)}</a></li>')
-    files["OPS/nav.xhtml"] = document(page.format("Contents", f'<nav xmlns:epub="http://www.idpf.org/2007/ops" epub:type="toc"><ol>{"".join(nav)}</ol></nav>'))
+    if contents is None:
+        entries_ = [(1, escape(heading), name) for name, (heading, _) in zip(names, chapters, strict=True)]
+    else:
+        entries_ = [(level, shown(label), f"{names[n - 1]}#{ident}") for level, label, n, ident in contents] or [(1, escape(title), names[0])]
+    for n, (path, data) in enumerate(sorted((images or {}).items()), 1):
+        files[f"OPS/{safe(path)}"] = data
+        items.append(f'<item id="i{n}" href="{escape(safe(path))}" media-type="{_PICTURES.get(path.rpartition(".")[2].lower(), "application/octet-stream")}"/>')
+    files["OPS/nav.xhtml"] = document(page.format("Contents", f'<nav xmlns:epub="http://www.idpf.org/2007/ops" epub:type="toc"><ol>{_nested(entries_)}</ol></nav>'))
     files["OPS/package.opf"] = document(
         f'<package xmlns="{OPF[1:-1]}" version="3.0" unique-identifier="id"><metadata xmlns:dc="{DC[1:-1]}"><dc:identifier id="id">{escape(title)}</dc:identifier>'
         f"<dc:title>{escape(title)}</dc:title><dc:creator>{escape(author)}</dc:creator><dc:language>{escape(language)}</dc:language></metadata>"

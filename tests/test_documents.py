@@ -409,3 +409,41 @@ def test_figures_are_drawn_by_a_plug_in(spark):
     books = spark.createDataFrame([("a", b"B")], "book_id string, content binary")
     got = {(r.page, r.k): (r.image and bytes(r.image), r.status) for r in figures.rendered(books, plan, texts, drawn).collect()}
     assert got[0, 1] == (b"B:1.0:1", "ok") and got[1, 0] == (None, "RuntimeError: no such page") and len(got) == 4
+
+
+def test_markdown_blocks_and_runs():
+    from quire.sources import book
+
+    assert book.inline("a **b *c*** `x<y` \\*no\\* [l](u) ![p](i.png) snake_case_word _em_ <&>  \nnext") == (
+        'a <strong>b <em>c</em></strong> <code>x&lt;y</code> *no* <a href="u">l</a> <img src="i.png" alt="p"/> snake_case_word <em>em</em> &lt;&amp;&gt;<br/>\nnext'
+    )
+    md = "Para one\nstill one\n\n> quote\n> **more**\n\n1. a\n2. b\n   - c\n   - d\n\n| h | k |\n|---|---|\n| 1 | 2 |\n\n```py\n# no <heading>\n```\n\n---\n\n### Head {#sec-0009}\n* x"
+    assert book.blocks(md.split("\n")) == (
+        "<p>Para one\nstill one</p><blockquote><p>quote\n<strong>more</strong></p></blockquote><ol><li>a</li><li>b<ul><li>c</li><li>d</li></ul></li></ol>"
+        "<table><thead><tr><th>h</th><th>k</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table><pre><code># no &lt;heading&gt;</code></pre><hr/>"
+        '<h3 id="sec-0009">Head</h3><ul><li>x</li></ul>'
+    )
+
+
+def test_markdown_becomes_a_package(spark):
+    from xml.etree import ElementTree as ET
+
+    from quire.sources import book
+
+    text = '---\ntitle: "A \\"B\\" & C"\nauthor: "X"\nlang: "bg"\n---\n\nIntro ![f](images/f.png)\n\n# One {#s1}\n\ntext\n\n### Deep {#s2}\n\n## Two & 2 {#s3}\n\n```\n# no\n```\n'
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string")
+    images = spark.createDataFrame([(1, "images/f.png", b"PNG")], "doc_id bigint, name string, content binary")
+    files = {r.doc_id: epub.unpacked(bytes(r.content)) for r in book.packages(docs, images).collect()}
+    assert files[1]["OPS/images/f.png"] == b"PNG" and sum(n.startswith("OPS/ch") for n in files[1]) == 3 and sum(n.startswith("OPS/ch") for n in files[2]) == 1
+    for found in files.values():
+        for name, data in found.items():
+            if name.endswith((".xhtml", ".opf", ".xml")):
+                ET.fromstring(data)
+    opf, nav = files[1]["OPS/package.opf"].decode(), files[1]["OPS/nav.xhtml"].decode()
+    assert '<dc:title>A &quot;B&quot; &amp; C</dc:title>' in opf and "<dc:language>bg</dc:language>" in opf and 'href="images/f.png" media-type="image/png"' in opf
+    assert '<ol><li><a href="ch0002.xhtml#s1">One</a><ol><li><a href="ch0002.xhtml#s2">Deep</a></li></ol></li><li><a href="ch0003.xhtml#s3">Two &amp; 2</a></li></ol>' in nav or (
+        '<ol><li><a href="ch0002.xhtml#s1">One</a><ol><li><a href="ch0002.xhtml#s2">Deep</a></li><li><a href="ch0003.xhtml#s3">Two &amp; 2</a></li></ol></li></ol>' in nav
+    )
+    found = epub.entries(book.packages(docs).withColumnRenamed("doc_id", "book_id"))
+    again = epub.spine_documents(epub.packages(found), found).groupBy("book_id").agg(F.count("*").alias("n")).collect()
+    assert {r.book_id: r.n for r in again} == {"1": 3, "2": 1}
