@@ -148,7 +148,7 @@ def parsed(text: str) -> tuple[dict[str, str], list[tuple[str, str]], list[tuple
         body = blocks(lines[lo:hi], heads)
         if body:
             own = heads[before:]
-            chapters.append((re.sub(r"<[^>]+>", "", inline(own[0][2])) if own else meta.get("title", ""), body))
+            chapters.append((re.sub(r"<[^>]+>", "", inline(own[0][2])) if own else escape(meta.get("title", ""), quote=False), body))
             contents += [(level, re.sub(r"<[^>]+>", "", inline(t)), len(chapters), ident) for level, ident, t in own]
     return meta, chapters or [("", "<p></p>")], contents
 
