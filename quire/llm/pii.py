@@ -143,11 +143,9 @@ def _turned(char: str, by: str) -> str:
 
 
 def _round() -> str:
-    """SQL for round ``op`` of a step on the state st (x, y): one half is shifted by a stream drawn from the other."""
-    byte = "cast(conv(substr(ks, cast(pmod(ci, 64) as int) * 2 + 1, 2), 16, 10) as int)"
-    chars = f"transform(sequence(1, length(sr)), ci -> {_turned('substr(sr, ci, 1)', f'sg * {byte}')})"
-    new = f"if(sr = '', '', {_let('ks', 'sha2(concat(sl, mr, lower(kh)), 512)', f'array_join({chars}, {_q("")})')})"
-    out = f"if(op < {ROUNDS}, struct(st.y as x, {new} as y), struct({new} as x, st.x as y))"
+    """SQL for round ``op`` of a step on the state st (x, y: arrays of characters): one half is shifted by a stream drawn from the other."""
+    byte = "cast(conv(substr(ks, cast(pmod(ci + 1, 64) as int) * 2 + 1, 2), 16, 10) as int)"
+    new = _let("ks", "sha2(concat(sl, mr, lower(array_join(kh, ''))), 512)", f"transform(sr, (cc, ci) -> {_turned('cc', f'sg * {byte}')})")
     out = _let("nh", new, f"if(op < {ROUNDS}, struct(st.y as x, nh as y), struct(nh as x, st.x as y))")
     mark = f"concat(cast(if(op < {ROUNDS}, op, {2 * ROUNDS} - op) as string), ':')"
     for name, value in (("mr", mark), ("sg", f"if(op < {ROUNDS}, 1, -1)"), ("kh", f"if(op < {ROUNDS}, st.y, st.x)"), ("sr", f"if(op < {ROUNDS}, st.x, st.y)")):
@@ -157,16 +155,19 @@ def _round() -> str:
 
 def _next() -> str:
     """SQL for the state st (x, y) with its first two characters of an alphabet counted up."""
-    up = _let("bs", _turned("bc", "1"), "struct(concat(bu.o, bs) as o, bu.n + 1 as n, substr(al, instr(al, bs) - 1, 1) = '|' as c)")
-    step = f"if(not bu.c or bu.n >= 2 or instr(al, bc) = 0, struct(concat(bu.o, bc) as o, bu.n as n, bu.c as c), {up})"
-    counted = f"aggregate(transform(sequence(1, length(wh)), ci -> substr(wh, ci, 1)), struct('' as o, 0 as n, true as c), (bu, bc) -> {step}, bu -> bu.o)"
-    return _let("wh", "concat(st.y, st.x)", _let("co", counted, "struct(substr(co, length(st.y) + 1) as x, substr(co, 1, length(st.y)) as y)"))
+    again = "if(substr(al, instr(al, n1) - 1, 1) = '|', array_position(slice(ok, p1 + 1, size(ok)), true), 0)"
+    counted = f"transform(wh, (cc, ci) -> if(ci + 1 = p1, n1, if(p2 > 0 and ci + 1 = p1 + p2, {_turned('cc', '1')}, cc)))"
+    out = _let("co", counted, "struct(slice(co, size(st.y) + 1, size(st.x)) as x, slice(co, 1, size(st.y)) as y)")
+    out = _let("n1", _turned("element_at(wh, p1)", "1"), _let("p2", again, out))
+    out = _let("p1", "cast(array_position(ok, true) as int)", f"if(p1 = 0, st, {out})")
+    return _let("wh", "concat(st.y, st.x)", _let("ok", "transform(wh, cc -> instr(al, cc) > 0)", out))
 
 
 def _step(form: str) -> str:
-    """SQL for the next form along the cycle."""
-    ops = f"aggregate(sequence(0, {2 * ROUNDS}), struct(substr(pv, 1, length(pv) div 2) as x, substr(pv, length(pv) div 2 + 1) as y), (st, op) -> if(op = {ROUNDS}, {_next()}, {_round()}), st -> concat(st.x, st.y))"
-    return _filled(form, _let("pv", _plain(form), f"if(pv = '', '', {ops})"))
+    """SQL for the next form along the cycle.  Work and memory follow the form's length."""
+    ops = f"aggregate(sequence(0, {2 * ROUNDS}), struct(slice(pv, 1, size(pv) div 2) as x, slice(pv, size(pv) div 2 + 1, size(pv)) as y), (st, op) -> if(op = {ROUNDS}, {_next()}, {_round()}), st -> concat(st.x, st.y))"
+    chars = f"filter(split({_plain(form)}, ''), cc -> cc <> '')"
+    return _filled(form, _let("pv", chars, f"if(size(pv) = 0, pv, {ops})"))
 
 
 def _plain(value: str) -> str:
@@ -174,9 +175,8 @@ def _plain(value: str) -> str:
 
 
 def _filled(form: str, letters: str) -> str:
-    """SQL that puts the characters of ``letters`` where ``form`` has letters and digits."""
-    step = r"if(ch rlike '[\\p{L}\\p{N}]', struct(concat(ac.o, substr(fl, ac.n, 1)) as o, ac.n + 1 as n), struct(concat(ac.o, ch) as o, ac.n as n))"
-    return _let("fl", letters, f"aggregate(split({form}, ''), struct('' as o, 1 as n), (ac, ch) -> {step}, ac -> ac.o)")
+    """SQL that puts an array of characters where ``form`` has letters and digits."""
+    return rf"array_join(zip_with(split({form}, '[\\p{{L}}\\p{{N}}]', -1), {letters}, (sp, lc) -> concat(sp, coalesce(lc, ''))), '')"
 
 
 def _ending(word: str) -> str:
