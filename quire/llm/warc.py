@@ -38,8 +38,9 @@ _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-derivatives")
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?[a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time tt u var wbr".split())
-_TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+))", re.I)
+_TITLE = re.compile(r"<title[^<>]*>(.*?)(?:</title|\Z)", re.S | re.I)
+#: In an a tag alone.
+_HREF = re.compile(r"(?<![\w-])href\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+))", re.I)
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 
@@ -255,7 +256,10 @@ def derive(headers: dict[str, str], block: bytes):
     payload_digest = headers.get("warc-payload-digest") or digest(raw)
     title = _TITLE.search(html)
     links = []
-    for m in _HREF.finditer(_RAW.sub(" ", html)):
+    for tag in _TAG.finditer(_RAW.sub(" ", html)):
+        m = _HREF.search(tag.group()) if (tag.group(1) or "").lower() == "a" else None
+        if m is None:
+            continue
         to = unescape(m.group(1) or m.group(2) or m.group(3) or "")
         try:
             links.append(urljoin(uri, to))

@@ -364,6 +364,15 @@ def test_payloads_are_read_as_they_were_sent():
     assert made(b"a < b\n c", "Content-Type: text/plain")[1] == ["a < b\n c"]
 
 
+def test_odd_markup_takes_time_by_the_character():
+    began = time.perf_counter()
+    for odd in ("<a ", "<title", "<!--", "<a href='", "<script>", "</a", '<p class="', "&#", "<b><i>"):
+        page = odd * 100_000
+        warc.derive({"warc-record-id": "r"}, b"HTTP/1.1 200 OK\r\n\r\n" + page.encode())
+        html.read(page)
+    assert time.perf_counter() - began < 60
+
+
 def test_warc_files_are_written_once_whole(spark, sf_dir, tmp_path):
     written = warc.write_records(table(spark, sf_dir, "pages").repartition(3))
     made = warc.write_files(written, f"file://{tmp_path}/out").collect()
