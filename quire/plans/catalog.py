@@ -530,7 +530,8 @@ _OP = "user_id % 2 as book, case when event_id % 101 = 0 then 9 else event_id %
 _PROSE = " ".join(["word"] * 22)
 _DFIG = f"""
 o as (select {_OP} from events), b as (select book::varchar as book_id, page::int as page, count(*) as n, greatest(min(x0 // 6) * 6 - 4, 0)::double as x0, greatest(min(y0 // 6) * 6 - 4, 0)::double as y0,
- least((max((x0 + 60) // 6) + 1) * 6 + 4, 400)::double as x1, least((max((y0 + 30) // 6) + 1) * 6 + 4, 600)::double as y1 from o group by 1, 2), f as (select * from b where n >= 30)"""
+ least((max((x0 + 60) // 6) + 1) * 6 + 4, 400)::double as x1, least((max((y0 + 30) // 6) + 1) * 6 + 4, 600)::double as y1 from o group by 1, 2),
+f as (select book_id, page, x0, y0, x1, y1 from b where n >= 30 union all select distinct (user_id % 2)::varchar, 10, 16.0, 16.0, 150.0, 124.0 from events where event_id % 103 = 0)"""
 
 
 def _figures(spark, d):
@@ -538,9 +539,12 @@ def _figures(spark, d):
     ops = ops.selectExpr("cast(book as string) as book_id", "cast(page as int) as page", "cast(x0 as double) as x0", "cast(y0 as double) as y0").selectExpr("*", "x0 + 60 as x1", "y0 + 30 as y1")
     pages = ops.select("book_id", "page").distinct().withColumn("width", F.lit(400.0)).withColumn("height", F.lit(600.0))
     texts = ops.where("x0 % 37 = 0").withColumn("text", F.expr(f"if(y0 % 2 = 0, '{_PROSE}', 'a label')"))
-    none = texts.where("false").withColumn("w_px", F.lit(0)).withColumn("h_px", F.lit(0))
-    found = figures.regions(pages, ops, texts, none)
-    return figures.plan(found, ops, texts, none)
+    # Pictures on page 10, with a label that reaches out of them, and slivers on page 11.
+    pics = _t(spark, d, "events").where("event_id % 103 = 0 or event_id % 107 = 0").selectExpr("cast(user_id % 2 as string) as book_id", "if(event_id % 103 = 0, 10, 11) as page", "20D as x0", "20D as y0", "120D as x1", "120D as y1", "if(event_id % 103 = 0, 200, 2000) as w_px", "200 as h_px")
+    pages = pages.unionByName(pics.select("book_id", "page").distinct().withColumn("width", F.lit(400.0)).withColumn("height", F.lit(600.0)))
+    texts = texts.unionByName(pics.where("page = 10").selectExpr("book_id", "page", "110D as x0", "110D as y0", "150D as x1", "118D as y1", "'a label' as text").distinct())
+    found = figures.regions(pages, ops, texts, pics)
+    return figures.plan(found, ops, texts, pics)
 
 
 @query(f"with {_DFIG} select book_id, page, 0 as k, x0, y0, x1, y1, printf('fig-%04d-%02d.png', page + 1, 0) as file_name from f")
@@ -549,7 +553,8 @@ def figure_plan(spark, d):
 
 
 @query(f"""with {_DFIG} select f.book_id, f.page, 0 as k, o.x0::double as x0, o.y0::double as y0, o.x0 + 60.0::double as x1, o.y0 + 30.0::double as y1, case when o.y0 % 2 = 0 then '{_PROSE}' else 'a label' end as text,
-case when o.y0 % 2 = 0 then 'body' else 'label' end as kind from f join o on f.book_id = o.book::varchar and f.page = o.page where o.x0 % 37 = 0""")
+case when o.y0 % 2 = 0 then 'body' else 'label' end as kind from f join o on f.book_id = o.book::varchar and f.page = o.page where o.x0 % 37 = 0
+union all select book_id, page, 0, 110.0, 110.0, 150.0, 118.0, 'a label', 'label' from f where page = 10""")
 def figure_texts(spark, d):
     """The texts in figures: prose stays text, labels go into the picture."""
     return _figures(spark, d)[1]
