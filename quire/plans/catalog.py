@@ -397,7 +397,7 @@ def nav_labels(spark, d):
 
 # The pages' markup as SQL sees it: list items with a link, a box, a title, paragraphs (some open with an unclosed b that ends with a br), a foot.
 def _dplainhtml(s: str) -> str:
-    return rf"regexp_replace(replace(replace(replace({s}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+    return rf"regexp_replace(replace(replace(replace({s}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;?', '&', 'g')"
 
 
 def _dhtml(s: str) -> str:
