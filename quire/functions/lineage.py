@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables stored within each open ``passing``, the innermost last.
+_passing: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a session on one machine without one (tests) gets a folder of its own.
@@ -38,5 +43,27 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """The same as a Parquet table in the shared folder, for what is read again by some of its columns only."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if _passing:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``stored`` within this block are deleted at its end: all that reads them must have been written by then.
+
+    Other stored tables stay as long as the shared folder does, as checkpoints do without a cleaner.
+    """
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            drop(spark, path)

@@ -447,3 +447,18 @@ def test_markdown_becomes_a_package(spark):
     found = epub.entries(book.packages(docs).withColumnRenamed("doc_id", "book_id"))
     again = epub.spine_documents(epub.packages(found), found).groupBy("book_id").agg(F.count("*").alias("n")).collect()
     assert {r.book_id: r.n for r in again} == {"1": 3, "2": 1}
+
+
+def test_stored_tables_pass(spark):
+    import os
+
+    from quire.functions import lineage
+
+    rows = spark.range(5).toDF("n")
+    with lineage.passing(spark):
+        inner = lineage.stored(rows)
+        path = inner.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert inner.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)
+    kept = lineage.stored(rows)
+    assert kept.count() == 5 and kept.dtypes == rows.dtypes
