@@ -13,8 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.functions.lineage import drop, passing, shared_folder
 from quire.llm import decontam, mixing, pii, quality, simhash
-from quire.llm.common import shared_folder, table
+from quire.llm.common import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again; what only a stage needs goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    folder, name = shared_folder(spark), uuid.uuid4().hex
+    folder, before = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{name}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if before is not None:
+            drop(spark, before)
+        before = f"{folder}/{k}"
+        docs = spark.read.parquet(before)
     return docs
