@@ -453,7 +453,9 @@ def test_component_ids(spark, sf_dir):
     assert all(r.component_id == min(x.doc_id for x in group) for group in least.values() for r in group)
 
 
-def test_long_chains_of_links(spark):
+@pytest.mark.parametrize("sent", [0, graph.SENT])
+def test_long_chains_of_links(spark, monkeypatch, sent):
+    monkeypatch.setattr(graph, "SENT", sent)
     edges = spark.createDataFrame([(i, i + 1) for i in range(500)] + [(7, 7), (None, 3), (1000, 1001), (1001, 1000)], "a bigint, b bigint")
     got = {r.node: r.root for r in graph.components(edges).collect()}
     assert all(got[i] == 0 for i in range(501)) and got[1001] == 1000 and len(got) == 503
