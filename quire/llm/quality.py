@@ -53,7 +53,7 @@ RULES = (
 SIGNALS = {
     "n_words": "cast(size(words) as bigint)",
     "word_chars": r"cast(length(array_join(words, '')) as bigint)",
-    "n_symbols": rf"cast(length(text) - length(regexp_replace(text, r'[{SYMBOLS}]', '')) as bigint)",
+    "n_symbols": rf"cast(regexp_count(text, r'[{SYMBOLS}]') as bigint)",
     "n_lines": "cast(size(lines) as bigint)",
     "n_dup_lines": "cast(size(lines) - size(array_distinct(lines)) as bigint)",
     "n_upper": r"cast(length(regexp_replace(text, r'\P{Lu}+', '')) as bigint)",
